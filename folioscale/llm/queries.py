@@ -3,9 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from . import encode
+from .site_lines import SiteLines
+
+
+def _chapters(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "job").where(F.col("kind") == "chapter")
+
+
+def _site_lines(spark: SparkSession, folder: str) -> SiteLines:
+    return SiteLines(_chapters(spark, folder), source="source_id", job="job_id", chapter="index", content="content", row="rec_id")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of the lines that a source repeats."""
+    return _site_lines(spark, folder).marked().withColumnRenamed("row", "rec_id")
+
+
+def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters without the lines that their source repeats."""
+    return _site_lines(spark, folder).removed().withColumnRenamed("row", "rec_id")
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -13,6 +33,10 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p8_ids": p8_ids}
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_cleaned": p3_cleaned,
+    "p8_ids": p8_ids,
+}
 
 SQL: dict[str, str] = {}
