@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encode
+from . import charset_repair, encode
 from .site_lines import SiteLines
 
 
@@ -28,6 +28,16 @@ def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return _site_lines(spark, folder).removed().withColumnRenamed("row", "rec_id")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapter records garbled by a wrong decoding."""
+    return charset_repair.garbled(_chapters(spark, folder), "rec_id", "content")
+
+
+def p5_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Garbled chapter records with their text restored as far as it can be."""
+    return charset_repair.garbled(_chapters(spark, folder), "rec_id", "content", restore=True)
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return encode.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
@@ -36,6 +46,8 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
+    "p5_found": p5_found,
+    "p5_restored": p5_restored,
     "p8_ids": p8_ids,
 }
 
