@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import charset_repair, encode
+from . import charset_repair, encode, template_residue
 from .site_lines import SiteLines
 
 
@@ -28,6 +28,12 @@ def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return _site_lines(spark, folder).removed().withColumnRenamed("row", "rec_id")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapter records with template residue, filler or an error page in place of content."""
+    jobs = _chapters(spark, folder)
+    return template_residue.residue(jobs, "rec_id", "source_id", "title", "url", "content").withColumnRenamed("row", "rec_id")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chapter records garbled by a wrong decoding."""
     return charset_repair.garbled(_chapters(spark, folder), "rec_id", "content")
@@ -46,6 +52,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
     "p8_ids": p8_ids,
