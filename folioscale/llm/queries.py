@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import charset_repair, encode, template_residue
+from . import charset_repair, encode, leakage, template_residue
 from .site_lines import SiteLines
 
 
@@ -49,6 +49,12 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least half of an evaluation item."""
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "eval_item")
+    return leakage.leaked(docs, "doc_id", "text", items, "item_id", "text").select("item_id", "doc_id")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
@@ -56,6 +62,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_restored": p5_restored,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
 }
 
 SQL: dict[str, str] = {}
