@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import charset_repair, encode, leakage, template_residue
+from . import charset_repair, encode, keyword_spam, leakage, template_residue
 from .site_lines import SiteLines
 
 
@@ -55,6 +55,11 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(docs, "doc_id", "text", items, "item_id", "text").select("item_id", "doc_id")
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are search-engine bait or bare lists."""
+    return keyword_spam.stuffed(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("row", "doc_id")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
@@ -63,6 +68,7 @@ QUERIES = {
     "p5_restored": p5_restored,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
+    "p10_found": p10_found,
 }
 
 SQL: dict[str, str] = {}
