@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import charset_repair, encode, keyword_spam, leakage, template_residue
+from . import charset_repair, confusables, encode, keyword_spam, leakage, template_residue
 from .site_lines import SiteLines
 
 
@@ -44,6 +44,21 @@ def p5_restored(spark: SparkSession, folder: str) -> DataFrame:
     return charset_repair.garbled(_chapters(spark, folder), "rec_id", "content", restore=True)
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles and authors with characters that imitate, split, compose or space out."""
+    return confusables.deviations(table(spark, folder, "search_hit"), "hit_id", ["title", "author"]).withColumnRenamed("row", "hit_id")
+
+
+def p7_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles and authors in their one form."""
+    return confusables.forms(table(spark, folder, "search_hit"), "hit_id", ["title", "author"]).withColumnRenamed("row", "hit_id")
+
+
+def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Spellings grouped by equal skeleton."""
+    return confusables.lookalike_groups(table(spark, folder, "search_hit"), "hit_id", ["title", "author"])
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return encode.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
@@ -66,6 +81,9 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
+    "p7_found": p7_found,
+    "p7_forms": p7_forms,
+    "p7_groups": p7_groups,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,
