@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import charset_repair, confusables, encode, keyword_spam, leakage, template_residue
+from ..session import table, written
+from . import charset_repair, confusables, encode, keyword_spam, leakage, page_body, template_residue
 from .site_lines import SiteLines
 
 
@@ -14,6 +14,29 @@ def _chapters(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "job").where(F.col("kind") == "chapter")
 
 
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters of job and previews as pages."""
+    jobs = _chapters(spark, folder).select(F.lit("job").alias("tab"), F.col("rec_id").alias("row_id"), F.col("source_id").alias("source"), "title", "content")
+    previews = table(spark, folder, "fetch_preview").select(F.lit("fetch_preview").alias("tab"), F.col("preview_id").alias("row_id"), F.col("source_id").alias("source"), "title", F.col("text_preview").alias("content"))
+    return jobs.unionByName(previews)
+
+
+def _sites(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "book_source").select(F.col("source_id").alias("source"), "name")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of chapters and previews that are not story; records of p4_found and p5_found left out."""
+    lines = page_body.furniture(_pages(spark, folder), _sites(spark, folder))
+    bad = written(p4_found(spark, folder).unionByName(p5_found(spark, folder)).distinct(), "left-out").select(F.lit("job").alias("tab"), F.col("rec_id").alias("row_id"))
+    return lines.join(bad, ["tab", "row_id"], "left_anti")
+
+
+def p2_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """The main body of every chapter and preview."""
+    return page_body.bodies(_pages(spark, folder), _sites(spark, folder))
+
+
 def _site_lines(spark: SparkSession, folder: str) -> SiteLines:
     return SiteLines(_chapters(spark, folder), source="source_id", job="job_id", chapter="index", content="content", row="rec_id")
 
@@ -76,6 +99,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_bodies": p2_bodies,
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
     "p4_found": p4_found,

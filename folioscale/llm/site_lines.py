@@ -58,7 +58,7 @@ def cut(counts: dict[str, int], counters: int) -> int:
     return take
 
 
-def _summarise(counters: int):
+def _summarise(counters: int, extra=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str | None, dict[str, int]] = defaultdict(dict)
         lost: dict[str | None, int] = defaultdict(int)
@@ -70,6 +70,8 @@ def _summarise(counters: int):
                 for k in set(line_keys(content)):
                     if k:
                         counts[k] = counts.get(k, 0) + 1
+                for group, k in extra(content) if extra else ():
+                    held[group][k] = held[group].get(k, 0) + 1
                 if len(counts) > SLACK * counters:
                     lost[source] += cut(counts, counters)
         for source, counts in held.items():
@@ -105,14 +107,16 @@ def _merge(counters: int, keep: bool):
     return run
 
 
-def summaries(texts: DataFrame, counters: int) -> DataFrame:
+def summaries(texts: DataFrame, counters: int, extra=None) -> DataFrame:
     """(source, lines, counts, lost): a merged summary for each source.
 
+    extra: a function from a content to further (group, key) pairs, summarised as groups of their own.
+
     Partial summaries of a source are merged in two levels, so that none gathers those of all
     partitions at once.
     """
     kind = "source string, lines array<string>, counts array<bigint>, lost bigint"
-    parts = texts.mapInArrow(_summarise(counters), kind).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
+    parts = texts.mapInArrow(_summarise(counters, extra), kind).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
     return parts.groupBy("source", "part").applyInArrow(_merge(counters, False), kind + ", part int").groupBy("source").applyInArrow(_merge(counters, True), kind)
 
 
