@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import charset_repair, confusables, encode, keyword_spam, leakage, page_body, template_residue
+from . import charset_repair, confusables, encode, entity_match, keyword_spam, leakage, page_body, template_residue
 from .site_lines import SiteLines
 
 
@@ -14,6 +14,17 @@ def _chapters(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "job").where(F.col("kind") == "chapter")
 
 
+def p1_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits paired with the plan of their book, with a confidence."""
+    columns = {"source": "source_id", "author": "author", "intro": "intro", "url": "book_url"}
+    return entity_match.match(table(spark, folder, "search_hit"), table(spark, folder, "book_plan"), {"row": "hit_id", "title": "title"} | columns, {"row": "plan_id", "title": "book_name"} | columns)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits that show the same book as a plan."""
+    return p1_matches(spark, folder).select("plan_id", "hit_id")
+
+
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
     """Chapters of job and previews as pages."""
     jobs = _chapters(spark, folder).select(F.lit("job").alias("tab"), F.col("rec_id").alias("row_id"), F.col("source_id").alias("source"), "title", "content")
@@ -99,6 +110,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_matches": p1_matches,
     "p2_found": p2_found,
     "p2_bodies": p2_bodies,
     "p3_found": p3_found,
