@@ -1,13 +1,15 @@
-"""Named queries over the test tables, one for each operator, with their SQL."""
+"""Named queries over the test tables, one or more for each operator, with their SQL."""
 
 from __future__ import annotations
 
-from . import messages
+from . import jobs, messages, pages, search, sources
+
+MODULES = (messages, pages, search, jobs, sources)
 
 
 def core_queries() -> dict:
-    return {**messages.QUERIES}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def core_sql() -> dict:
-    return {**messages.SQL}
+    return {name: q for m in MODULES for name, q in m.SQL.items()}
