@@ -65,6 +65,8 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens in a row, the text of each, and whether it is a single Han character."""
     fold, kinds = tables()
     code = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "replace"), np.uint32)
+    if not len(code):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
     code = fold[code]
     kind = kinds[code]
