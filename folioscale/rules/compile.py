@@ -34,7 +34,7 @@ def native(rule: str, json: Column) -> Column | None:
                 done = language.folded(m[1])
                 if done is None and not NATIVE_PATH.fullmatch(m[1]):
                     return None
-                pieces += [F.lit(alt.base[at : m.start()]), F.lit(done) if done is not None else F.coalesce(_member(json, m[1]), F.lit(""))]
+                pieces += [F.lit(alt.base[at : m.start()]), F.lit(done) if done is not None else F.coalesce(X.squash(_member(json, m[1])), F.lit(""))]
                 at = m.end()
             value = X.squash(X.clean(F.concat(*pieces, F.lit(alt.base[at:])), alt.cleaners))
         elif NATIVE_PATH.fullmatch(alt.base):

@@ -295,7 +295,7 @@ def xpath(node: Node, text: str) -> list[Node | str]:
             seen += [x for x in xpath(node, p.strip()) if x not in seen]
         return seen
     text = text.strip()
-    text = text[1:] if text.startswith((".//", "./")) else text
+    text = (text[1:] if text.startswith((".//", "./")) else text).rstrip("/")
     current: list[Node | str] = [node]
     pos = 0
     while pos < len(text):

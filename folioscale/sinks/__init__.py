@@ -53,4 +53,5 @@ def write_text(pieces: DataFrame, path: str, group: str = "job_id") -> None:
     A job's pieces meet in one task and are streamed in sorted order; jobs spread over all tasks.
     """
     df = pieces.repartition(group).sortWithinPartitions(group, "position")
-    df.select(F.col(group).alias("job"), "piece").write.mode("overwrite").option("lineSep", "").partitionBy("job").text(path)
+    rows = df.select(F.col(group).alias("job"), F.regexp_replace("piece", r"\n\z", "").alias("piece"))  # the writer ends each row with LF
+    rows.write.mode("overwrite").partitionBy("job").text(path)
