@@ -194,13 +194,15 @@ def _try(text: str, hits: Counter) -> str | None:
     return best
 
 
+#: Words rightly written in other scripts: capital and small letters in their order, or kana.
+FOREIGN = re.compile("(?<![A-Za-zÀ-ÿЀ-ӿ])(?:[А-ЯЁ]?[а-яё]{2,}|[Α-Ω]?[ά-ώ]{2,})(?![A-Za-zÀ-ÿЀ-ӿ])|[ぁ-ヿ]{2,}")
 STOPS = re.compile(r"(?<=[。！？；!?;])")
 
 
 def repair_line(line: str) -> tuple[str, bool]:
     """The line with its garbled stretches restored, and whether it holds any (restorable or not)."""
     unusual = len(_unusual().findall(line))
-    if not unusual:
+    if not unusual or not _unusual().search(FOREIGN.sub("", line)):
         return line, False
     lossy = "�" in line
     hits: Counter = Counter()

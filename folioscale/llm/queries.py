@@ -127,4 +127,19 @@ QUERIES = {
     "p10_found": p10_found,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "p3_found": r"""
+WITH pieces AS (
+  SELECT rec_id, source_id, job_id, index, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no
+  FROM job WHERE kind = 'chapter' AND content IS NOT NULL),
+keyed AS (
+  SELECT rec_id, source_id, {'j': job_id, 'i': index} AS chapter, line_no,
+         regexp_replace(regexp_replace(line, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+', '', 'g'), '[0-9]+', '0', 'g') AS line FROM pieces),
+chapters AS (SELECT source_id, count(DISTINCT chapter) AS n FROM keyed GROUP BY source_id),
+lines AS (SELECT source_id, line, count(DISTINCT chapter) AS n FROM keyed WHERE line <> '' GROUP BY source_id, line)
+SELECT k.rec_id, k.line_no::INT AS line_no FROM keyed k
+JOIN lines l ON l.source_id IS NOT DISTINCT FROM k.source_id AND l.line = k.line
+JOIN chapters c ON c.source_id IS NOT DISTINCT FROM k.source_id
+WHERE l.n >= 5 AND l.n >= 0.04 * c.n
+""",
+}
