@@ -7,12 +7,12 @@ Unicode's throughout. Null stays null unless a function says otherwise.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from html import unescape as _unescape
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U = "(?U)"
@@ -44,6 +44,11 @@ def replace_all(c: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(by))
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     return replace_all(c, r"(?U)^\s+|\s+$", "")
 
@@ -140,6 +145,23 @@ PAGE_MARKERS = [
 ]
 
 
+#: Texts without any of these words are without the marker of the same place. Fixed values.
+PAGE_MARKER_WORDS = [("页",), ("下一页继续阅读", "本章未完"), ("点击下一页", "下一章", "上一章")]
+
+
+def without_page_markers(c: Column) -> Column:
+    """STR-07; a pattern runs only over texts that hold its words."""
+
+
+    def step(marker: tuple[str, str], words: Sequence[str]) -> Callable[[Column], Column]:
+        pattern, by = java_pattern(marker[0]), marker[1]
+        return lambda x: F.when(reduce(lambda a, b: a | b, (F.contains(x, F.lit(w)) for w in words)), replace_all(x, pattern, by)).otherwise(x)
+
+    for marker, words in zip(PAGE_MARKERS, PAGE_MARKER_WORDS):
+        c = let(c, step(marker, words))
+    return trim(c)
+
+
 def tidy(c: Column) -> Column:
     """STR-08: no blanks at line ends, no more than one blank line."""
     return trim(replace_all(replace_all(lf(c), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
@@ -147,26 +169,25 @@ def tidy(c: Column) -> Column:
 
 def without_title(c: Column, title: Column) -> Column:
     """STR-09: without the lines that equal the title, unless nothing else is left."""
-    kept = F.filter(F.split(trim(c), "\n"), lambda x: trim(x) != trim(title))
-    left = F.array_join(kept, "\n")
-    return F.when((trim(F.coalesce(title, F.lit(""))) == "") | (trim(left) == ""), trim(c)).otherwise(trim(left))
+    name = trim(F.coalesce(title, F.lit("")))
+
+    def left(x: Column) -> Column:
+        rest = trim(F.array_join(F.filter(F.split(x, "\n"), lambda line: trim(line) != name), "\n"))
+        return F.when((name == "") | ~F.contains(x, name), x).otherwise(let(rest, lambda r: F.when(r == "", x).otherwise(r)))
+
+    return let(trim(c), left)
 
 
 def reflow(c: Column) -> Column:
-    """WIN-03: lines joined to paragraphs; blank lines gone, each paragraph indented by two wide spaces."""
+    """WIN-03: lines joined to paragraphs; blank lines gone, each paragraph indented by two wide spaces.
+
+    Whether a line opens a paragraph depends on it and the line before only, so no line waits for another.
+    """
     lines = F.filter(F.transform(F.split(trim(lf(c)), "\n"), trim), lambda x: x != "")
-    start = F.struct(F.lit("").alias("text"), F.lit(True).alias("ended"))
-    ends = "[" + "".join("\\" + e for e in PARAGRAPH_ENDS) + "]$"
-    folded = F.aggregate(
-        lines,
-        start,
-        lambda acc, x: F.struct(
-            F.concat(acc["text"], F.when(acc["ended"] | x.rlike(OWN_PARAGRAPH), F.concat(F.when(acc["text"] == "", F.lit("")).otherwise(F.lit("\n")), F.lit(INDENT))).otherwise(F.lit("")), x).alias("text"),
-            x.rlike(ends).alias("ended"),
-        ),
-        lambda acc: acc["text"],
-    )
-    return F.coalesce(folded, F.lit(""))
+    ends = f"[{PARAGRAPH_ENDS}]$"
+    joined = lambda x, before: F.when(before.rlike(ends) | x.rlike(OWN_PARAGRAPH), F.concat(F.lit("\n" + INDENT), x)).otherwise(x)
+    pieces = let(lines, lambda ls: F.zip_with(ls, F.concat(F.array(F.lit("。")), ls), joined))
+    return F.coalesce(F.substr(F.array_join(pieces, ""), F.lit(2)), F.lit(""))
 
 
 def rule_filters(c: Column, cleaners: Sequence[tuple[str, str]]) -> Column:
@@ -174,11 +195,21 @@ def rule_filters(c: Column, cleaners: Sequence[tuple[str, str]]) -> Column:
     return trim(clean(F.when(c.rlike(r"<[a-zA-Z][^>]*>"), html_to_text(c)).otherwise(c), cleaners))
 
 
-def content_pipeline(c: Column, title: Column, rule: Sequence[tuple[str, str]] = (), remote: Sequence[tuple[str, str]] = (), repository: Sequence[tuple[str, str]] = ()) -> Column:
-    """STR-11: rule filters, remote cleaners, repository cleaners, page markers, tidy, title, reflow."""
-    for stage in (list(rule), list(remote), list(repository), PAGE_MARKERS):
-        c = rule_filters(c, stage) if stage is rule else clean(c, stage) if stage else c
-    return reflow(without_title(tidy(c), title))
+def content_pipeline(df: DataFrame, content: str, title: str, out: str = "text", rule: Sequence[tuple[str, str]] = (), remote: Sequence[tuple[str, str]] = (), repository: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """STR-11: rule filters, remote cleaners, repository cleaners, page markers, tidy, title, reflow.
+
+    Each stage that needs its input more than once is a projection of its own, so nothing is computed twice.
+    """
+    stages = (
+        lambda c: F.when(c.rlike(r"<[a-zA-Z][^>]*>"), html_to_text(c)).otherwise(c),
+        lambda c: tidy(without_page_markers(clean(clean(trim(clean(c, rule)), remote), repository))),
+        lambda c: without_title(c, F.col(title)),
+        reflow,
+    )
+    df = df.withColumn(out, F.col(content))
+    for stage in stages:
+        df = df.withColumn(out, stage(F.col(out)))
+    return df
 
 
 def compare_key(c: Column) -> Column:

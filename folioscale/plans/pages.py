@@ -82,7 +82,7 @@ def data_cleaners(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_markers(spark: SparkSession, folder: str) -> DataFrame:
-    return _chapters(spark, folder).select("rec_id", X.tidy(X.clean(F.col("content"), X.PAGE_MARKERS)).alias("text"))
+    return _chapters(spark, folder).select("rec_id", X.tidy(X.without_page_markers(F.col("content"))).alias("text"))
 
 
 def _chapters(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,7 +98,8 @@ def paragraph_reflow(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def content_pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    return _chapters(spark, folder).where("title is not null").select("rec_id", X.content_pipeline(F.col("content"), F.col("title"), rule=[("录入：.*", "")], repository=[("（[上下]）", "")]).alias("text"))
+    got = X.content_pipeline(_chapters(spark, folder).where("title is not null"), "content", "title", rule=[("录入：.*", "")], repository=[("（[上下]）", "")])
+    return got.select("rec_id", "text")
 
 
 def url_normalise(spark: SparkSession, folder: str) -> DataFrame:

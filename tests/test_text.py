@@ -29,7 +29,7 @@ def test_cleaners(spark):
     assert one(spark, X.without_title(c, F.lit("T")), "\nT\nx\n T \ny") == "x\ny"
     assert one(spark, X.without_title(c, F.lit("T")), "T\n T") == "T\n T"
     assert one(spark, X.truncate(c, 3), "abcd") == "ab…"
-    assert one(spark, X.clean(c, X.PAGE_MARKERS), "a（第1/3页）\n点击下一页") == "a"
+    assert one(spark, X.without_page_markers(c), "a（第1/3页）\n点击下一页") == "a"
     assert one(spark, X.squash(c), "　a   b　") == "a b"
     assert one(spark, X.reflow(c), None) == ""
 
