@@ -102,7 +102,7 @@ def test_edits(a, b):
 
 @pytest.mark.parametrize(
     "a, b, same",
-    [("《灯笼与断剑》（完结）", "灯笼与断剑", True), ("[都市]灯笼与断剑最新章节", "灯笼与断剑", True), ("灯笼与断剑续篇", "灯笼与断剑", False), ("灯笼与断剑2", "灯笼与断剑", False), ("The Quiet Key by A. Moor", "the quiet key", True), ("The Quiet Key II", "The Quiet Key", False)],
+    [("《灯笼与断剑》（完结）", "灯笼与断剑", True), ("[都市]灯笼与断剑最新章节", "灯笼与断剑", True), ("灯笼与断剑续篇", "灯笼与断剑", False), ("灯笼与断剑2", "灯笼与断剑", False), ("The Quiet Key by A. Moor", "the quiet key", True), ("The Quiet Key II", "The Quiet Key", False), ("The Quiet Key: The Return", "The Quiet Key", False)],
 )
 def test_titles(a, b, same):
     assert (entity_match.title_likeness(entity_match.clean_title(a)[0], entity_match.clean_title(b)[0]) > 0.8) is same
