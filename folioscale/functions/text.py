@@ -49,8 +49,13 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+#: White_Space of Unicode.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(c: Column) -> Column:
-    return replace_all(c, r"(?U)^\s+|\s+$", "")
+    """Unicode white space stripped from both ends; only the ends are looked at."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def squash(c: Column) -> Column:
@@ -184,8 +189,8 @@ def reflow(c: Column) -> Column:
     Whether a line opens a paragraph depends on it and the line before only, so no line waits for another.
     """
     lines = F.filter(F.transform(F.split(trim(lf(c)), "\n"), trim), lambda x: x != "")
-    ends = f"[{PARAGRAPH_ENDS}]$"
-    joined = lambda x, before: F.when(before.rlike(ends) | x.rlike(OWN_PARAGRAPH), F.concat(F.lit("\n" + INDENT), x)).otherwise(x)
+    ended = lambda x: F.contains(F.lit(PARAGRAPH_ENDS), F.right(x, F.lit(1)))
+    joined = lambda x, before: F.when(ended(before) | x.rlike(OWN_PARAGRAPH), F.concat(F.lit("\n" + INDENT), x)).otherwise(x)
     pieces = let(lines, lambda ls: F.zip_with(ls, F.concat(F.array(F.lit("。")), ls), joined))
     return F.coalesce(F.substr(F.array_join(pieces, ""), F.lit(2)), F.lit(""))
 
