@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jobs, messages, pages, search, sources
+from . import jobs, messages, pages, probes, search, sources
 
-MODULES = (messages, pages, search, jobs, sources)
+MODULES = (messages, pages, search, jobs, sources, probes)
 
 
 def core_queries() -> dict:
