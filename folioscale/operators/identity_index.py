@@ -26,11 +26,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch, ship
+from ..session import get, open_folder, put, scratch, ship
 
 #: Rows that a partition holds at a time for its local deduplication.
 LOCAL_ROWS = 400_000
@@ -44,36 +43,15 @@ def identity(*cols: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit("second half"), text)]
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
-def _put(uri: str, data: bytes) -> None:
-    fs, path = _open(uri)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    temp = f"{path}.{np.random.default_rng().integers(2**62):x}.tmp"
-    with fs.open_output_stream(temp) as out:
-        out.write(data)
-    fs.move(temp, path)
-
-
-def _get(uri: str) -> bytes | None:
-    fs, path = _open(uri)
-    if fs.get_file_info(path).type == pafs.FileType.NotFound:
-        return None
-    with fs.open_input_file(path) as f:
-        return f.read()
-
-
 def _load(uri: str) -> np.ndarray:
-    data = _get(uri)
+    data = get(uri)
     return np.zeros((0, 2), np.int64) if data is None else np.load(io.BytesIO(data))
 
 
 def _save(uri: str, ids: np.ndarray) -> None:
     buf = io.BytesIO()
     np.save(buf, ids)
-    _put(uri, buf.getvalue())
+    put(uri, buf.getvalue())
 
 
 def contains(run: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -158,12 +136,12 @@ class IdentityIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64, max_runs: int = 4):
         ship(spark)
         self.spark, self.path, self.buckets, self.max_runs = spark, path or scratch(spark, "identity"), buckets, max_runs
-        held = _get(f"{self.path}/manifest.json")
+        held = get(f"{self.path}/manifest.json")
         state = json.loads(held) if held else {"runs": [], "next": 0, "buckets": buckets}
         self.runs, self.next, self.buckets = state["runs"], state["next"], state["buckets"]
 
     def _commit(self) -> None:
-        _put(f"{self.path}/manifest.json", json.dumps({"runs": self.runs, "next": self.next, "buckets": self.buckets}).encode())
+        put(f"{self.path}/manifest.json", json.dumps({"runs": self.runs, "next": self.next, "buckets": self.buckets}).encode())
 
     def admit(self, batch: DataFrame, keys: Sequence[str], order: str, row: str) -> DataFrame:
         """Admit a batch; returns (row, surplus), one row for each row of the batch.
@@ -191,17 +169,20 @@ class IdentityIndex:
         self.runs, self.next = [name], self.next + 1
         self._commit()
         for r in old:
-            fs, path = _open(f"{self.path}/{r}")
+            fs, path = open_folder(f"{self.path}/{r}")
             fs.delete_dir(path)
 
 
-def surplus_copies(messages: DataFrame, keys: Sequence[str], order: str, row: str, batches: int = 6, buckets: int = 64) -> DataFrame:
-    """Every surplus copy (row) of a table, taken in as ``batches`` deliveries in order of time."""
+def surplus_copies(messages: DataFrame, keys: Sequence[str], order: str, row: str, batches: int = 6, buckets: int | None = None) -> DataFrame:
+    """Every surplus copy (row) of a table, taken in as ``batches`` deliveries in order of time.
+
+    buckets: by default one for every two million messages, so that a bucket's array stays small.
+    """
     spark = messages.sparkSession
     at = F.unix_micros(F.col(f"`{order}`").cast("timestamp"))
-    cuts = messages.select(F.percentile_approx(at, [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"]
-    edges = [None, *sorted(set(cuts or [])), None]
-    index, found = IdentityIndex(spark, buckets=buckets), None
+    seen = messages.select(F.percentile_approx(at, [i / batches for i in range(1, batches)], 1000).alias("cuts"), F.count("*").alias("n")).first()
+    edges = [None, *sorted(set(seen["cuts"] or [])), None]
+    index, found = IdentityIndex(spark, buckets=buckets or max(32, -(-seen["n"] // 2_000_000))), None
     for low, high in zip(edges, edges[1:]):
         part = messages
         if low is not None:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -37,19 +39,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, and the path within it."""
+    return pafs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
+
+
+def put(uri: str, data: bytes) -> None:
+    """Write a file whole or not at all."""
+    fs, path = open_folder(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    temp = f"{path}.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(temp) as out:
+        out.write(data)
+    fs.move(temp, path)
+
+
+def get(uri: str) -> bytes | None:
+    """A file's bytes; null where there is none."""
+    fs, path = open_folder(uri)
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return None
+    with fs.open_input_file(path) as f:
+        return f.read()
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers (once per application)."""
+    """Make this package importable in the Python workers (once per application), by way of the shared folder."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="folioscale-pkg-"), "folioscale_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
         for folder, _, files in os.walk(root):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(folder, f)
                     z.write(full, os.path.join("folioscale", os.path.relpath(full, root)))
+    target = f"{scratch(spark, 'package')}/folioscale_pkg.zip"
+    put(target, held.getvalue())
     sc.addPyFile(target)
     _shipped.add(sc.applicationId)
 
