@@ -145,6 +145,13 @@ def test_page_bodies(spark):
     assert page_body.furniture(pages.limit(0), sites).count() == 0
 
 
+def test_cut_pages():
+    text = STORY + "\n" + STORY[:20]
+    assert page_body.Reader(set()).story(text, None) == [True, False] and page_body.Reader(set()).story(text, None, len(text)) == [True, True]
+    many = "a/b·c|" * 20_000
+    assert page_body.Reader(set()).story(many + "\n" + STORY, "t") == [False, True]
+
+
 def test_best_run_is_the_largest():
     rnd = random.Random(2)
     for _ in range(200):
