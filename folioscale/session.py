@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
 import tempfile
@@ -12,6 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_made: list[str] = []
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -28,8 +30,20 @@ def shared_base(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_base(spark)}/folioscale/{name}-{uuid.uuid4().hex[:12]}"
+    """A new, unused path below the shared folder; what is written there goes when the application ends."""
+    _made.append(f"{shared_base(spark)}/folioscale/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+@atexit.register
+def _clear() -> None:
+    for uri in _made:
+        try:
+            fs, path = open_folder(uri)
+            if fs.get_file_info(path).type != pafs.FileType.NotFound:
+                fs.delete_dir(path)
+        except Exception:  # noqa: BLE001 - the folder may be gone or out of reach by now
+            continue
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
