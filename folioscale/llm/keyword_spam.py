@@ -7,8 +7,15 @@ perplexity is abnormally high or low for prose is flagged. An exact check of the
 follows: at least ``min_share`` of the text stands outside telling sentences, in several items of
 several words.
 
+Search words strung together in sentence frames end in full stops too. A sentence tells nothing if it
+holds the phrase around which the page is built: two words or four Han characters in a row (no hero's
+name) that make up the missing share in ``FRAMES`` different sentences or more. Such pages are no prose
+to train on. Many are built of common words: where the phrase comes back within its sentences, as it
+does not in numbered sentences of one pattern, the page needs no abnormal perplexity.
+
 What is prose for training is decided without labels: a page whose text nearly all stands in ended
-sentences. The bounds of normal perplexity come from the histogram of the prose pages' own scores.
+sentences and is not strung together. The bounds of normal perplexity come from the histogram of the
+prose pages' own scores.
 Both the model and the histogram are counts over all documents, merged by adding; their size is
 bounded by the number of classes (``CLASSES`` cubed) and of histogram cells, whatever the corpus.
 
@@ -19,6 +26,7 @@ are scored; long texts are no exception. Repeated rows are judged each for itsel
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -50,6 +58,10 @@ SENTENCE = re.compile(r"[。！？!?…]+[”’」』»\"')）]*|\.[”’»\"'
 ITEM = re.compile(r"[\n|·,，、;；#>]|\s{1,}")
 URL = re.compile(r"https?://\S+|www\.\S+")
 WORDLIKE = re.compile(r"[^\W\d_]")
+UNIT = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]|[^\W_぀-ヿ㐀-鿿豈-﫿]+")
+#: Of the phrase that a strung page is built around: least different sentences and places, and places a sentence where perplexity says nothing.
+FRAMES, PLACES, DENSE = 3, 6, 1.1
+FUNCTION = frozenset(w for ws in WORDS.values() for w in ws.split())
 
 
 @cache
@@ -129,17 +141,72 @@ def grams(seq: np.ndarray) -> np.ndarray:
     return (a * CLASSES + b) * CLASSES + seq
 
 
-def prose_share(text: str) -> float:
-    """Share of the text, white space aside, that stands in ended sentences."""
-    total = told = 0
+def sentences(text: str) -> tuple[list[str], int]:
+    """The ended sentences of the text, and its length, white space around lines aside."""
+    parts, total = [], 0
     for line in text.split("\n"):
         line = line.strip()
         total += len(line)
         end = 0
         for m in SENTENCE.finditer(line):
+            parts.append(line[end : m.end()])
             end = m.end()
-        told += end
-    return told / total if total else 0.0
+    return parts, total
+
+
+def prose_share(text: str) -> float:
+    """Share of the text, white space aside, that stands in ended sentences."""
+    parts, total = sentences(text)
+    return sum(map(len, parts)) / total if total else 0.0
+
+
+def phrases(sentence: str) -> list[tuple[str, ...]]:
+    units = UNIT.findall(sentence.lower())
+    n = 4 if 2 * sum(u >= "぀" for u in units) > len(units) else 2
+    return list(zip(*(units[k:] for k in range(n))))
+
+
+def strung(parts: list[str], need: float) -> tuple[int, float]:
+    """(characters of the sentences that hold the phrase of most of them, its places a sentence); zeros below ``need``."""
+    sizes: Counter = Counter()
+    for p in parts:
+        sizes[p] += len(p)
+    left, most, since = sum(sizes.values()), 0, 0
+    held: Counter = Counter()
+    for p, size in sizes.items():
+        for phrase in set(phrases(p)):
+            held[phrase] += size
+        left -= size
+        since += size
+        if since >= need / 8:  # no phrase may come up to it any more
+            most, since = max(held.values(), default=0), 0
+            if most + left < need:
+                return 0, 0.0
+    best = (0, 0.0)
+    frames: Counter = Counter()
+    places: Counter = Counter()
+    likely = {phrase for phrase, size in held.items() if size >= need and not FUNCTION.issuperset(phrase)}
+    for p in sizes if likely else ():
+        own = [phrase for phrase in phrases(p) if phrase in likely]
+        places.update(own)
+        frames.update(set(own))
+    for phrase in likely:
+        if frames[phrase] >= FRAMES and places[phrase] >= PLACES:
+            best = max(best, (held[phrase], places[phrase] / frames[phrase]))
+    return best
+
+
+def told_share(text: str, most: float) -> tuple[float, float]:
+    """(share of the text in telling sentences, places a sentence of the phrase it is built around or 0).
+
+    The phrase is looked for as far as it may bring the share down to ``most``.
+    """
+    parts, total = sentences(text)
+    told = sum(map(len, parts))
+    if told <= most * total or len(parts) < FRAMES:
+        return (told / total if total else 0.0), 0.0
+    held, dense = strung(parts, told - most * total)
+    return (told - held) / total, dense
 
 
 class Model:
@@ -172,27 +239,30 @@ def _slices(b: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
             low, held = i + 1, 0
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CLASSES**3, np.int64)
-    for b in batches:
-        for _, texts in _slices(b):
-            prose = [t for t in texts if len(t) >= 100 and prose_share(t) >= 0.9]
-            if prose:
-                g = grams(sequence(prose)[0])
-                cells, counts = np.unique(g, return_counts=True)
-                total[cells] += counts
-    cells = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
+def _train(most: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES**3, np.int64)
+        for b in batches:
+            for _, texts in _slices(b):
+                prose = [t for t in texts if len(t) >= 100 and told_share(t, most)[0] >= 0.9]
+                if prose:
+                    g = grams(sequence(prose)[0])
+                    cells, counts = np.unique(g, return_counts=True)
+                    total[cells] += counts
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
+
+    return run
 
 
-def telling(text: str) -> tuple[float, int, int]:
-    """For the exact check: share told in sentences, items outside of them, and distinct words among those."""
-    told = prose_share(text)
+def telling(text: str, most: float) -> tuple[float, int, int, float]:
+    """For the exact check: share told in sentences, items of the text, distinct words among those, and ``told_share``'s places."""
+    told, dense = told_share(text, most)
     items = [x for x in ITEM.split(text) if x and (WORDLIKE.search(x))]
-    return told, len(items), len(set(items))
+    return told, len(items), len(set(items)), dense
 
 
-def _score(model):
+def _score(model, most: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
         for b in batches:
@@ -200,23 +270,23 @@ def _score(model):
             for keys, texts in _slices(b):
                 seq, text = sequence(texts)
                 score = own.score(seq, text, len(texts))
-                told = [telling(t) for t in texts]
+                told = [telling(t, most) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(score, pa.float64()), pa.array([x[0] for x in told], pa.float64()), pa.array([x[1] for x in told], pa.int64()), pa.array([x[2] for x in told], pa.int64()), pa.array([len(t) for t in texts], pa.int64())],
-                    names=["row", "bits", "told", "items", "words", "chars"],
+                    [pa.array(keys, pa.int64()), pa.array(score, pa.float64()), pa.array([x[0] for x in told], pa.float64()), pa.array([x[1] for x in told], pa.int64()), pa.array([x[2] for x in told], pa.int64()), pa.array([x[3] for x in told], pa.float64()), pa.array([len(t) for t in texts], pa.int64())],
+                    names=["row", "bits", "told", "items", "words", "dense", "chars"],
                 )
 
     return run
 
 
-def scored(df: DataFrame, row: str, text: str) -> tuple[DataFrame, float, float]:
-    """(row, bits, told, items, words, chars) of each non-blank text, and the bounds of normal bits per token."""
+def scored(df: DataFrame, row: str, text: str, min_share: float = 0.75) -> tuple[DataFrame, float, float]:
+    """(row, bits, told, items, words, dense, chars) of each non-blank text, and the bounds of normal bits per token."""
     spark = df.sparkSession
     ship(spark)
     texts = df.select(F.col(f"`{row}`").cast("bigint").alias("row"), F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").rlike(r"\S"))
-    counts = texts.mapInArrow(_train, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSES cubed rows
+    counts = texts.mapInArrow(_train(1 - min_share), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSES cubed rows
     model = spark.sparkContext.broadcast((counts["cell"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)))
-    out = written(texts.mapInArrow(_score(model), "row bigint, bits double, told double, items bigint, words bigint, chars bigint"), "spam")
+    out = written(texts.mapInArrow(_score(model, 1 - min_share), "row bigint, bits double, told double, items bigint, words bigint, dense double, chars bigint"), "spam")
     prose = out.where("told >= 0.9 and chars >= 100").groupBy(F.least(F.floor(F.col("bits") / CELL_WIDTH), F.lit(CELLS)).alias("cell")).count().toPandas()
     if not len(prose):
         return out, 0.0, 0.0
@@ -229,6 +299,6 @@ def scored(df: DataFrame, row: str, text: str) -> tuple[DataFrame, float, float]
 
 def stuffed(df: DataFrame, row: str, text: str, min_share: float = 0.75, min_items: int = 6) -> DataFrame:
     """(row): pages of search words, tags, links or bare titles rather than sentences."""
-    out, low, high = scored(df, row, text)
-    odd = out.where((F.col("bits") < low) | (F.col("bits") > high))
+    out, low, high = scored(df, row, text, min_share)
+    odd = out.where((F.col("bits") < low) | (F.col("bits") > high) | (F.col("dense") >= DENSE))
     return odd.where((F.col("told") <= 1 - min_share) & (F.col("items") >= min_items) & (F.col("words") >= 2)).select("row")

@@ -172,6 +172,20 @@ def test_keyword_spam(spark):
     assert keyword_spam.stuffed(df.limit(0), "id", "text").count() == 0
 
 
+def test_keyword_spam_in_sentence_frames(spark):
+    rnd = random.Random(4)
+    people, things = ["沈青禾", "裴远山", "顾知秋", "说书人"], ["灯笼", "旧账本", "银簪", "断剑"]
+    prose = ["".join(f"{rnd.choice(people)}把{rnd.choice(things)}放在桌上，心里想起了{rnd.choice(things)}的事。他没有说话，只是笑着退到一边。" for _ in range(8)) for _ in range(80)]
+    words, title = ["txt下载", "无弹窗", "免费小说", "穿越", "书单", "完本推荐"], "我在灯港做寂静档案"
+    frames = ["搜索{t}{a}的朋友也在找{b}{t}。", "想看{t}就来这里，{a}{b}样样有。", "{t}{a}，{t}{b}，{t}尽在本页！"]
+    strung = ["".join(rnd.choice(frames).format(t=title, a=rnd.choice(words), b=rnd.choice(words)) for _ in range(15))]
+    strung.append(prose[0][:40] + "\n" + strung[0])
+    strung.append(" ".join(f"Looking for Quiet Stair over Halford {a}? Here is Quiet Stair over Halford {b}." for a in ("epub", "audiobook", "isekai") for b in ("no ads", "web fiction", "top ranking")))
+    told = ["\n".join(f"{i}. 沈青禾把{t}放在桌上，心里想起了{u}的事。" for i, (t, u) in enumerate(zip(things * 4, things[::-1] * 3))), "雨停了，雨停了，雨又停了，雨真的停了。" * 40]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*prose, *strung, *told])], "id bigint, text string")
+    assert sorted(r.row for r in keyword_spam.stuffed(df, "id", "text").collect()) == [80, 81, 82]
+
+
 def test_sequences_keep_texts_apart():
     texts = ["", "Le chat dort.", "的的的", "a" * 50, "免费 小说"]
     seq, text = keyword_spam.sequence(texts)
