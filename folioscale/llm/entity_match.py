@@ -6,10 +6,11 @@ similarities within a sliding window, then one-to-one assignment of largest tota
 *Profiles.* Hits of one page (source and address, variants of the address resolved) are one entity:
 its title and author are the spellings most hits agree on, its intro the longest.
 
-*Sort keys.* title+author, author+title, title backwards, intro, address. The plans are ranked by
+*Sort keys.* title+author, author+title, title backwards, title from its middle, title's characters or
+words in order, intro, address. The plans are ranked by
 each key and cut into blocks of ``block`` plans that overlap by the window; an entity goes to the
-block where its key falls and is compared with the ``window`` plans before and after it. Windows
-count plans, so any number of hits may crowd at one place; crowded blocks are salted. No pairs within
+block where its key falls and is compared with the ``window`` plans before and after it: 6, and 6 more
+for each doubling of the plans beyond 1,000, since neighbours crowd as plans grow. Windows count plans, so any number of hits may crowd at one place; crowded blocks are salted. No pairs within
 a group of entities are made, and only one key in ``block`` reaches the driver.
 
 *Assignment.* A page shows one book, and of one source a plan takes one page: edges that nothing
@@ -22,6 +23,7 @@ are never matched. Repeated hits are all matched to their page's plan.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -151,6 +153,7 @@ def likeness(a: str, b: str) -> float:
     return 0.0 if shared(a, b) < 0.5 * n else 1 - edits(a, b) / n
 
 
+@lru_cache(100_000)
 def title_likeness(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
@@ -221,7 +224,9 @@ def keys_of(title: str, author: str, intro: str, page: str | None) -> list[tuple
     """The composite sort keys that a record has."""
     out = []
     if title:
-        out += [(0, f"{title}|{author}"), (2, f"{title[::-1]}|{author}")]
+        middle = len(title) // 2
+        ordered = " ".join(sorted(title.split())) if " " in title else "".join(sorted(title))
+        out += [(0, f"{title}|{author}"), (2, f"{title[::-1]}|{author}"), (5, f"{title[middle:]}{title[:middle]}|{author}"), (6, f"{ordered}|{author}")]
     if author:
         out.append((1, f"{author}|{title}"))
     if len(intro) >= 8:
@@ -288,7 +293,7 @@ def _compare(window: int, least: float):
         if plans.num_rows and entities.num_rows:
             ps = sorted(zip(*(plans.column(c).to_pylist() for c in ("key", "row", "title", "author", "intro", "page"))))
             keys = [p[0] for p in ps]
-            for key, page, source, title, author, intro in zip(*(entities.column(c).to_pylist() for c in ("key", "page", "source", "title", "author", "intro"))):
+            for key, page, source, title, author, intro in sorted(zip(*(entities.column(c).to_pylist() for c in ("key", "page", "source", "title", "author", "intro")))):
                 at = bisect_left(keys, key)
                 end = at
                 while end < len(keys) and keys[end] == key:  # equal keys count as one place
@@ -302,9 +307,15 @@ def _compare(window: int, least: float):
     return fn
 
 
-def neighbours(plans: DataFrame, entities: DataFrame, window: int = 4, block: int = 2048, crowd: int = 20_000, least: float = 0.6) -> DataFrame:
+def window_for(plans: int) -> int:
+    """Places to either side that keep recall level as plans grow."""
+    return 6 + math.ceil(6 * max(0.0, math.log2(max(1, plans) / 1000)))
+
+
+def neighbours(plans: DataFrame, entities: DataFrame, window: int | None = None, block: int = 2048, crowd: int = 20_000, least: float = 0.6) -> DataFrame:
     """(plan, page, source, confidence): the likely pairs of all sort keys."""
     spark = plans.sparkSession
+    window = window_for(plans.count()) if window is None else window
     kinds = "source string, page string, title string, author string, intro string, no int, key string"
     keyed = plans.mapInArrow(_keyed, "row bigint, " + kinds).repartitionByRange(F.col("no"), F.col("key"), F.col("row")).sortWithinPartitions("no", "key", "row")
     keyed = written(keyed.withColumn("part", F.spark_partition_id()).withColumn("in_part", F.monotonically_increasing_id()), "plan-keys")
@@ -385,7 +396,7 @@ def assigned(pairs: DataFrame, rounds: int = 12) -> DataFrame:
     return free.unionByName(solved)
 
 
-def match(hits: DataFrame, plans: DataFrame, hit: dict[str, str], plan: dict[str, str], window: int = 4, least: float = 0.62) -> DataFrame:
+def match(hits: DataFrame, plans: DataFrame, hit: dict[str, str], plan: dict[str, str], window: int | None = None, least: float = 0.62) -> DataFrame:
     """(plan_id, hit_id, confidence). hit, plan: the columns for row, source, title, author, intro, url."""
     ship(hits.sparkSession)
     clean_hits = written(cleaned(hits, **hit), "hits")

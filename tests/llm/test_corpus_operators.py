@@ -144,6 +144,18 @@ def test_matching(spark):
     assert entity_match.match(h, p.limit(0), {"row": "hit_id"} | names, {"row": "plan_id"} | names).count() == 0
 
 
+def plans_and_pages(spark, plans, pages):
+    """plans: (row, title, author, intro); pages: (page, title, author, intro)."""
+    p = spark.createDataFrame([(r, "x", f"?{r}", *rest) for r, *rest in plans], "row bigint, source string, page string, title string, author string, intro string")
+    return p, spark.createDataFrame([(g, "x", i, t, a) for g, t, a, i in pages], "page string, source string, intro string, title string, author string")
+
+
+def test_spellings_far_apart(spark):
+    between = [(i, f"子{c}{d}丑", "沈青禾", "") for i, (c, d) in enumerate((c, d) for c in "乙丙丁戊己" for d in WORDS[:12])]
+    plans, pages = plans_and_pages(spark, [(900, "甲乙丙丁戊己庚辛", "沈青禾", ""), *between], [("p", "子乙丙丁戊己庚丑", "沈青禾", "")])
+    assert [r.plan for r in entity_match.neighbours(plans, pages).collect()] == [900]
+
+
 def test_queries(spark, data):
     from folioscale.llm.queries import QUERIES
 
