@@ -14,8 +14,9 @@ for each doubling of the plans beyond 1,000, since neighbours crowd as plans gro
 a group of entities are made, and only one key in ``block`` reaches the driver.
 
 *Assignment.* A page shows one book, and of one source a plan takes one page: edges that nothing
-contests are taken at once, contested ones are gathered into their (small) connected components,
-which are solved exactly up to ``EXACT`` edges and by best edge first beyond.
+contests are taken at once, contested ones are gathered into their connected components, which are
+solved exactly: up to ``EXACT`` edges by trying, beyond by shortest augmenting paths. A component is
+solved in one task, in memory of the order of its edges.
 
 Null titles, authors, intros and addresses are no evidence; two records without any common evidence
 are never matched. Repeated hits are all matched to their page's plan.
@@ -23,6 +24,7 @@ are never matched. Repeated hits are all matched to their page's plan.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from bisect import bisect_left
@@ -343,17 +345,62 @@ def neighbours(plans: DataFrame, entities: DataFrame, window: int | None = None,
     return pairs.groupBy("plan", "page").agg(F.min("source").alias("source"), F.max("confidence").alias("confidence"))
 
 
+def augmented(edges: list[tuple[str, str, float]], order: list[int]) -> list[int]:
+    """The assignment by shortest augmenting paths; every left end may also stay alone, at the cost of the best edge."""
+    alone = max(0.0, max(c for _, _, c in edges))
+    lefts: dict[str, int] = {}
+    rights: dict[str, int] = {}
+    roads: list[dict[int, tuple[float, int]]] = []
+    for k in order:  # of equal edges the first
+        a, b, c = edges[k]
+        if lefts.setdefault(a, len(lefts)) == len(roads):
+            roads.append({})
+        roads[lefts[a]].setdefault(rights.setdefault(b, len(rights)), (alone - c, k))
+    up, down = [0.0] * len(lefts), [0.0] * len(rights)
+    of_left, of_right = [-1] * len(lefts), [-1] * len(rights)
+    for start in range(len(lefts)):
+        far: dict[int, float] = {}
+        came: dict[int, int] = {}
+        done: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        seen = [(start, 0.0)]
+        left, at, end, last = start, 0.0, math.inf, start
+        while True:
+            if at + alone - up[left] < end:
+                end, last = at + alone - up[left], left
+            for j, (cost, _) in roads[left].items():
+                to = at + cost - up[left] - down[j]
+                if j not in done and to < far.get(j, math.inf):
+                    far[j], came[j] = to, left
+                    heapq.heappush(heap, (to, j))
+            while heap and heap[0][1] in done:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= end:  # ``last`` stays alone
+                j = of_left[last]
+                of_left[last] = -1
+                break
+            at, j = heapq.heappop(heap)
+            if of_right[j] < 0:
+                end = at
+                break
+            done.add(j)
+            left = of_right[j]
+            seen.append((left, at))
+        for i, d in seen:
+            up[i] += end - d
+        for k in done:
+            down[k] -= end - far[k]
+        while j >= 0:
+            i = came[j]
+            of_right[j], of_left[i], j = i, j, of_left[i]
+    return [roads[i][j][1] for i, j in enumerate(of_left) if j >= 0]
+
+
 def best_assignment(edges: list[tuple[str, str, float]]) -> list[int]:
     """Numbers of the edges of the one-to-one assignment of largest total confidence."""
     order = sorted(range(len(edges)), key=lambda k: (-edges[k][2], edges[k][:2]))
     if len(edges) > EXACT:
-        chosen, used = [], set()
-        for k in order:
-            a, b, _ = edges[k]
-            if ("a", a) not in used and ("b", b) not in used:
-                chosen.append(k)
-                used |= {("a", a), ("b", b)}
-        return chosen
+        return augmented(edges, order)
     best: tuple[float, list[int]] = (0.0, [])
 
     def extend(i: int, total: float, chosen: list[int], used: frozenset) -> None:
@@ -375,7 +422,7 @@ def _assign(t: pa.Table) -> pa.Table:
     return t.select(["plan", "page", "confidence"]).take(pa.array(best_assignment(edges), pa.int64()))
 
 
-def assigned(pairs: DataFrame, rounds: int = 12) -> DataFrame:
+def assigned(pairs: DataFrame) -> DataFrame:
     """(plan, page, confidence): one-to-one between plans and pages within each source."""
     edges = written(pairs.withColumn("left", F.concat_ws("|", F.col("plan").cast("string"), F.coalesce("source", F.lit("?")))), "edges")
     lefts = edges.groupBy("left").agg(F.count("*").alias("nl"))
@@ -384,14 +431,17 @@ def assigned(pairs: DataFrame, rounds: int = 12) -> DataFrame:
     free = counted.where("nl = 1 and nr = 1").select("plan", "page", "confidence")
     # an edge that is alone at one end joins no others; the rest is labelled by its component
     labelled = written(counted.where("nl > 1 or nr > 1").select("plan", "page", "confidence", "left", F.col("left").alias("label")), "labels")
-    for _ in range(0 if labelled.isEmpty() else rounds):
+    moved = not labelled.isEmpty()
+    while moved:
         by_page = labelled.groupBy("page").agg(F.min("label").alias("p"))
         one = labelled.join(by_page, "page")
-        by_left = one.groupBy("left").agg(F.min("p").alias("l"))
-        new = written(one.join(by_left, "left").select("plan", "page", "confidence", "left", F.least("label", "p", "l").alias("label"), (F.least("p", "l") < F.col("label")).alias("moved")), "labels")
-        labelled = new.drop("moved")
-        if new.where("moved").isEmpty():
-            break
+        by_left = one.groupBy("left").agg(F.min("p").alias("l"), F.min("label").alias("old"))
+        by_left = written(by_left.select("left", F.least("l", "old").alias("near"), "old"), "lefts")
+        # a label is the name of a left end: its own label is taken over, so that chains halve
+        ahead = by_left.select(F.col("left").alias("near"), F.col("near").alias("ahead"))
+        new = written(by_left.join(ahead, "near", "left").select("left", "old", F.least("near", "ahead").alias("next")), "lefts")
+        moved = not new.where("next < old").isEmpty()
+        labelled = written(labelled.drop("label").join(new.select("left", F.col("next").alias("label")), "left"), "labels")
     solved = labelled.groupBy("label").applyInArrow(_assign, "plan bigint, page string, confidence double")
     return free.unionByName(solved)
 

@@ -156,6 +156,34 @@ def test_spellings_far_apart(spark):
     assert [r.plan for r in entity_match.neighbours(plans, pages).collect()] == [900]
 
 
+def test_large_components_are_solved_exactly(spark):
+    rnd = random.Random(3)
+    for _ in range(60):
+        n = rnd.randint(3, 7)
+        edges = [(f"a{a}", f"b{b}", rnd.choice([0.62, 0.7, 0.9, rnd.uniform(0.6, 1.0)])) for a in range(n) for b in range(n) if rnd.random() < 0.8]
+        edges += edges[:3]
+        best = {frozenset(): 0.0}  # by right ends used
+        for a in range(n):
+            new = dict(best)
+            for used, total in best.items():
+                for x, b, c in edges:
+                    if x == f"a{a}" and b not in used and total + c > new.get(used | {b}, -1.0):
+                        new[used | {b}] = total + c
+            best = new
+        got = entity_match.best_assignment(edges)
+        ends = [x for k in got for x in edges[k][:2]]
+        assert len(ends) == len(set(ends)) and abs(sum(edges[k][2] for k in got) - max(best.values())) < 1e-9
+    greedy = [(f"a{i}", f"b{i + k}", 0.81 if k else 0.8) for i in range(20) for k in (0, 1) if i + k < 20]
+    assert len(entity_match.best_assignment(greedy)) == 20
+
+
+def test_long_chains_are_one_component(spark):
+    n = 60
+    edges = [(i, f"p{i + k:02}", "s", 0.81 if k else 0.8) for i in range(n) for k in (0, 1) if i + k < n]
+    got = entity_match.assigned(spark.createDataFrame(edges, "plan bigint, page string, source string, confidence double")).collect()
+    assert len({r.plan for r in got}) == len({r.page for r in got}) == len(got) == n
+
+
 def test_queries(spark, data):
     from folioscale.llm.queries import QUERIES
 
