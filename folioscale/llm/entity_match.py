@@ -193,8 +193,7 @@ def intro_likeness(a: str, b: str) -> float | None:
         return None
     if a[:n] == b[:n]:
         return 1.0
-    m = min(n, 60)
-    return 1.0 if m < n and a[:m] == b[:m] else likeness(a[:m], b[:m])
+    return likeness(a[:n], b[:n])
 
 
 #: Weights of title, author and intro. Fixed values.

@@ -184,6 +184,14 @@ def test_long_chains_are_one_component(spark):
     assert len({r.plan for r in got}) == len({r.page for r in got}) == len(got) == n
 
 
+def test_intros_are_compared_to_their_end():
+    rnd = random.Random(5)
+    start, one, other = ("".join(sentence(rnd) for _ in range(n)) for n in (5, 12, 12))
+    assert entity_match.intro_likeness(start + one, start + other) < 0.5
+    assert entity_match.intro_likeness(start + one, (start + one)[:100]) == 1.0
+    assert entity_match.intro_likeness(start + one, start + one[:40] + "水" + one[41:]) > 0.9
+
+
 def test_queries(spark, data):
     from folioscale.llm.queries import QUERIES
 
