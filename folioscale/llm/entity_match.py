@@ -9,7 +9,7 @@ its title and author are the spellings most hits agree on, its intro the longest
 *Sort keys.* title+author, author+title, title backwards, title from its middle, title's characters or
 words in order, intro, address. The plans are ranked by
 each key and cut into blocks of ``block`` plans that overlap by the window; an entity goes to the
-block where its key falls and is compared with the ``window`` plans before and after it: 6, and 6 more
+block where its key falls (to each block that holds plans of its very key) and is compared with the ``window`` plans before and after it: 6, and 6 more
 for each doubling of the plans beyond 1,000, since neighbours crowd as plans grow. Windows count plans, so any number of hits may crowd at one place; crowded blocks are salted. No pairs within
 a group of entities are made, and only one key in ``block`` reaches the driver.
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -282,7 +282,13 @@ def _placed(splits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = splits.value
         for b in batches:
-            cells = [max(0, bisect_left(held[no], key) - 1) if held.get(no) else -1 for no, key in zip(b.column("no").to_pylist(), b.column("key").to_pylist())]
+            at, cells = [], []
+            for i, (no, key) in enumerate(zip(b.column("no").to_pylist(), b.column("key").to_pylist())):
+                if starts := held.get(no):  # plans of an equal key may fill several cells
+                    own = range(max(0, bisect_left(starts, key) - 1), max(1, bisect_right(starts, key)))
+                    at += [i] * len(own)
+                    cells += own
+            b = b.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.int32())], names=[*b.schema.names, "cell"])
 
     return run

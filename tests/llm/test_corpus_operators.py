@@ -192,6 +192,12 @@ def test_intros_are_compared_to_their_end():
     assert entity_match.intro_likeness(start + one, start + one[:40] + "水" + one[41:]) > 0.9
 
 
+def test_equal_keys_in_several_blocks(spark):
+    plans, pages = plans_and_pages(spark, [(i, "灯笼与断剑", "沈青禾", "") for i in range(40)], [("p", "灯笼与断剑", "沈青禾", ""), ("q", "灯笼与断桥", "沈青禾", "")])
+    got = entity_match.neighbours(plans, pages, window=1, block=4).collect()
+    assert sorted(r.plan for r in got if r.page == "p") == list(range(40)) and len([r for r in got if r.page == "q"]) >= 1
+
+
 def test_queries(spark, data):
     from folioscale.llm.queries import QUERIES
 
