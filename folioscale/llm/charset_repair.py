@@ -175,7 +175,7 @@ def _try(text: str, hits: Counter) -> str | None:
     """The best restoration of a stretch, if it is clearly better than the stretch."""
     before = oddness(text)
     best, least = None, before
-    for pair, _ in hits.most_common(6):
+    for pair, _ in hits.most_common():
         got = ungarble(text, pair)
         if got is None:
             continue

@@ -73,6 +73,13 @@ def test_garbled_text_is_found_and_restored(text, true, wrong):
         assert same > 0.6 or lines[1] != bad
 
 
+def test_every_pair_with_a_hit_is_tried():
+    bad = read_wrong(FRENCH, "utf-8", "cp1252")
+    true = next(n for n, pair in enumerate(charset_repair.PAIRS) if pair == ("utf-8", "cp1252"))
+    others = [n for n in range(len(charset_repair.PAIRS)) if charset_repair._try(bad, charset_repair.Counter({n: 1})) is None][:6]
+    assert len(others) == 6 and charset_repair._try(bad, charset_repair.Counter({true: 1} | dict.fromkeys(others, 9))) == FRENCH
+
+
 @pytest.mark.parametrize("text", [None, "", " \n", STORY, TRADITIONAL, FRENCH, "São Lúmio das Águas", "门楣上是四个生僻字：魑魅魍魎", "Последний страж", "“这半截蜡烛值六两银子，”她说。", "【体质：43】", "* * *", "半夏３钱"])
 def test_right_text_is_left_alone(text):
     assert charset_repair.repair(text) == (text, False)
