@@ -175,7 +175,9 @@ def _try(text: str, hits: Counter) -> str | None:
     """The best restoration of a stretch, if it is clearly better than the stretch."""
     before = oddness(text)
     best, least = None, before
-    for pair, _ in hits.most_common():
+    for rank, (pair, _) in enumerate(hits.most_common()):
+        if rank >= 6 and best is not None:  # a pair of few hits may look less odd by being short
+            break
         got = ungarble(text, pair)
         if got is None:
             continue
