@@ -1,32 +1,32 @@
 """Keyword-stuffed pages and link lists (problem 10).
 
-Method: a page becomes a sequence of function words and word classes, with marks of how
-long no sentence has ended; an n-gram model (trigrams,
-interpolated) is trained on the prose of the corpus itself, counted over all documents; a page whose
-perplexity is abnormally high or low for prose is flagged. An exact check of the flagged pages
-follows: at least ``min_share`` of the text stands outside telling sentences, in several items of
-several words.
-
-Search words strung together in sentence frames end in full stops too. A sentence tells nothing if it
-holds the phrase around which the page is built: two words or four Han characters in a row (no hero's
-name) that make up the missing share in ``FRAMES`` different sentences or more. Such pages are no prose
-to train on. Many are built of common words: where the phrase comes back within its sentences, as it
-does not in numbered sentences of one pattern, the page needs no abnormal perplexity.
-
-What is prose for training is decided without labels: a page whose text nearly all stands in ended
-sentences and is not strung together. The bounds of normal perplexity come from the histogram of the
-prose pages' own scores.
-Both the model and the histogram are counts over all documents, merged by adding; their size is
-bounded by the number of classes (``CLASSES`` cubed) and of histogram cells, whatever the corpus.
-
-Null, empty and blank texts, and texts of one symbol, word or number, are never flagged. Whole texts
-are scored; long texts are no exception. Repeated rows are judged each for itself.
+Method: a page becomes a sequence of function words and word classes, with marks of how long no sentence
+has ended; an n-gram model (trigrams, interpolated) is trained on the prose of the corpus itself, counted
+over all documents. Perplexity is taken in a window around every token, and a page is flagged if at
+least ``min_share`` of its characters stand where it is abnormally high or low for prose.
+
+* *Abnormally high*: the window's bits a token lie above those of prose. The bounds come from the histogram
+  of the prose pages' own windows (``TAIL`` at either end and a tenth of the way from the middle beyond).
+* *Abnormally low*: search words strung together in sentence frames look like prose to a model of classes,
+  but the page itself foretells them. A second model, of the page's own characters, calls a run of
+  ``OWN_HAN`` Han or ``OWN_LATIN`` other characters foretold if ``FRAMES`` different sentences of the page
+  hold it; a sentence is abnormal if at least ``FORETOLD`` of it is. Equal sentences count once, so that
+  a refrain foretells nothing, and in half of the page's sentences some run must come back within a sentence
+  (``DENSE`` places a sentence), so that numbered sentences of one pattern are none.
+
+Prose to train on is decided without labels: a page whose text stands in ended sentences for nine tenths
+and hardly foretells itself. The model and the histograms are counts over all documents, merged by adding;
+their size is bounded by the number of classes (``CLASSES`` cubed) and of histogram cells.
+
+Null, empty and blank texts, and texts of one symbol, word or number (fewer than ``min_items`` items or one
+distinct word), are never flagged. Whole texts are scored; long texts are no exception. Repeated rows are
+judged each for itself.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -53,15 +53,14 @@ CLASSES = 176
 LONG_EVERY, LONGS = 8, 14
 #: Characters of text that are worked on at a time.
 SLICE_CHARS = 400_000
+#: Tokens of a window, and the histogram of windows' bits; the last cell is for what the page itself foretells.
+WINDOW = 32
 CELLS, CELL_WIDTH = 400, 0.05
-SENTENCE = re.compile(r"[。！？!?…]+[”’」』»\"')）]*|\.[”’»\"')]*(?=\s|$)|；")
+OWN = CELLS + 1
+TAIL = 0.005
+OWN_HAN, OWN_LATIN, FRAMES, FORETOLD, DENSE = 5, 12, 3, 0.5, 1.1
 ITEM = re.compile(r"[\n|·,，、;；#>]|\s{1,}")
-URL = re.compile(r"https?://\S+|www\.\S+")
 WORDLIKE = re.compile(r"[^\W\d_]")
-UNIT = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]|[^\W_぀-ヿ㐀-鿿豈-﫿]+")
-#: Of the phrase that a strung page is built around: least different sentences and places, and places a sentence where perplexity says nothing.
-FRAMES, PLACES, DENSE = 3, 6, 1.1
-FUNCTION = frozenset(w for ws in WORDS.values() for w in ws.split())
 
 
 @cache
@@ -97,41 +96,113 @@ def word_hash(word: str) -> int:
     return int(mix(np.add.reduce((code + np.uint64(1)) * _odd[np.arange(len(code)) % 64], keepdims=True))[0])
 
 
-def sequence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all tokens in a row, each text led by START, and the text of each token."""
-    kind, hashes, numbers = classes()
-    raw = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "replace"), np.uint32)
-    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
-    k = kind[raw].astype(np.int64)
-    k[raw == 0] = START
-    letter = (k == WORD_LOW) | (k == WORD_UP)
-    run = np.ones(len(k), bool)
-    same = k[1:] == k[:-1]
-    run[1:] = ~((letter[1:] & letter[:-1]) | (same & ((k[1:] == HAN1) | (k[1:] == NUMBER) | (k[1:] == GAP) | (k[1:] == LINE) | (k[1:] == LIST) | (k[1:] == STOP) | (k[1:] == OTHER))))
-    begin = np.flatnonzero(run)
-    size = np.diff(begin, append=len(k))
-    out = k[begin]
-    han = out == HAN1
-    out[han] = np.where(size[han] == 1, HAN1, FIRST_FREE + np.minimum(size[han], HAN_RUNS) - 2)
-    word = np.flatnonzero((out == WORD_LOW) | (out == WORD_UP))
-    if len(word):
-        at = np.arange(len(k)) - np.repeat(begin, size)
-        low = np.where(k == WORD_UP, np.where(raw < 0x250, raw + 32, raw), raw).astype(np.uint64)
-        h = mix(np.add.reduceat(np.where(letter, (low + np.uint64(1)) * _odd[at % 64], np.uint64(0)), begin)[word])
-        place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        known = hashes[place] == h
-        out[word[known]] = numbers[place[known]]
-        first = raw[begin[word[~known]]]
-        link = (size[word[~known]] >= 4) & (first == ord("h")) & (raw[np.minimum(begin[word[~known]] + 3, len(raw) - 1)] == ord("p"))
-        out[word[~known][link]] = LINK
-    text = np.searchsorted(ends, begin, "right")
-    lead = np.searchsorted(text, np.arange(len(texts)))
-    out, text = np.insert(out, lead, START), np.insert(text, lead, np.arange(len(texts)))
-    place = np.arange(len(out))
-    since = place - np.maximum.accumulate(np.where((out == STOP) | (out == START), place, 0))
-    long_ = np.flatnonzero((since > 0) & (since % LONG_EVERY == 0))
-    level = CLASSES - LONGS - 1 + np.minimum(since[long_] // LONG_EVERY, LONGS)
-    return np.insert(out, long_ + 1, level), np.insert(text, long_ + 1, text[long_])
+class Batch:
+    """Some texts in a row: their characters' classes, tokens and sentences."""
+
+    def __init__(self, texts: list[str]):
+        kind = classes()[0]
+        self.n = len(texts)
+        self.raw = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "replace"), np.uint32)
+        self.ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+        k = kind[self.raw].astype(np.int64)
+        for c in np.flatnonzero(self.raw == 0x2E).tolist():  # a point before a number ends no sentence
+            if c + 2 < len(k) and k[c + 1] == GAP and k[c + 2] == NUMBER:
+                k[c] = PAUSE
+        k[self.raw == 0] = START
+        self.kind = k
+        self.text = np.repeat(np.arange(self.n), np.diff(self.ends, prepend=0))
+        self.solid = (k != GAP) & (k != LINE) & (k != START)
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Classes of all tokens, each text led by START; the text of each; its first character; and its solid characters."""
+        _, hashes, numbers = classes()
+        k, raw = self.kind, self.raw
+        letter = (k == WORD_LOW) | (k == WORD_UP)
+        run = np.ones(len(k), bool)
+        same = k[1:] == k[:-1]
+        run[1:] = ~((letter[1:] & letter[:-1]) | (same & ((k[1:] == HAN1) | (k[1:] == NUMBER) | (k[1:] == GAP) | (k[1:] == LINE) | (k[1:] == LIST) | (k[1:] == STOP) | (k[1:] == OTHER))))
+        begin = np.flatnonzero(run)
+        size = np.diff(begin, append=len(k))
+        out = k[begin]
+        han = out == HAN1
+        out[han] = np.where(size[han] == 1, HAN1, FIRST_FREE + np.minimum(size[han], HAN_RUNS) - 2)
+        word = np.flatnonzero((out == WORD_LOW) | (out == WORD_UP))
+        if len(word):
+            at = np.arange(len(k)) - np.repeat(begin, size)
+            low = np.where(k == WORD_UP, np.where(raw < 0x250, raw + 32, raw), raw).astype(np.uint64)
+            h = mix(np.add.reduceat(np.where(letter, (low + np.uint64(1)) * _odd[at % 64], np.uint64(0)), begin)[word])
+            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            known = hashes[place] == h
+            out[word[known]] = numbers[place[known]]
+            first = raw[begin[word[~known]]]
+            link = (size[word[~known]] >= 4) & (first == ord("h")) & (raw[np.minimum(begin[word[~known]] + 3, len(raw) - 1)] == ord("p"))
+            out[word[~known][link]] = LINK
+        text, chars = self.text[begin], np.add.reduceat(self.solid.astype(np.int64), begin)
+        lead = np.searchsorted(text, np.arange(self.n))
+        out, text, begin, chars = np.insert(out, lead, START), np.insert(text, lead, np.arange(self.n)), np.insert(begin, lead, begin[lead]), np.insert(chars, lead, 0)
+        place = np.arange(len(out))
+        since = place - np.maximum.accumulate(np.where((out == STOP) | (out == START), place, 0))
+        long_ = np.flatnonzero((since > 0) & (since % LONG_EVERY == 0))
+        level = CLASSES - LONGS - 1 + np.minimum(since[long_] // LONG_EVERY, LONGS)
+        return tuple(np.insert(a, long_ + 1, v) for a, v in ((out, level), (text, text[long_]), (begin, begin[long_]), (chars, 0)))
+
+    def sentences(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sentence number of each character (they end at stops, with what closes after them, and at lines), and which sentences are ended by a stop."""
+        k = self.kind
+        shut = (k == QUOTE) | (k == CLOSE)
+        at = np.arange(len(k))
+        held = at - np.maximum.accumulate(np.where(~shut, at, -1))  # closing characters in a row up to here
+        stop = (k == STOP) | (shut & (k[np.maximum(at - held, 0)] == STOP) & (held > 0))
+        over = stop & ~np.append(stop[1:], False)
+        final = over | (k == LINE) | (k == START)
+        number = np.cumsum(final) - final
+        ended = np.zeros(int(number[-1]) + 1 if len(number) else 0, bool)
+        ended[number[over]] = True
+        return number, ended
+
+    def foretold(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per sentence: is it foretold by the page itself, and does the page also hold runs that come back within sentences?"""
+        k, raw = self.kind, self.raw
+        count = int(number[-1]) + 1
+        low = np.where((k == WORD_UP) & (raw < 0x250), raw + 32, raw).astype(np.uint64)
+        start = np.searchsorted(number, np.arange(count))
+        size = np.diff(start, append=len(number))
+        solid = np.add.reduceat(self.solid.astype(np.int64), start)
+        at = np.arange(len(number)) - np.repeat(start, size)
+        owner = self.text[start]
+        spelt = np.where(self.solid, (low + np.uint64(1)) * mix(at.astype(np.uint64)), np.uint64(0))
+        same = mix(np.add.reduceat(spelt, start) + owner.astype(np.uint64) * _odd[3])
+        _, first, copy = np.unique(same, return_index=True, return_inverse=True)
+        single = np.zeros(count, bool)
+        single[first] = True
+        wide = np.bincount(self.text, (k == HAN1) | (k >= FIRST_FREE + HAN_RUNS), self.n) * 2 > np.bincount(self.text, self.solid, self.n)
+        covered, bait = np.zeros(len(number) + 1, np.int64), np.zeros(self.n, bool)
+        different = np.bincount(owner[single & (solid > 0)], minlength=self.n)
+        usable = single[number] & (k != START) & (k != LINE)
+        for n, ours in ((OWN_HAN, wide), (OWN_LATIN, ~wide)):
+            mine = np.flatnonzero(usable & ours[self.text] & (at + n <= np.repeat(size, size)))
+            if not len(mine):
+                continue
+            gram = self.text[mine].astype(np.uint64) * _odd[5]
+            for i in range(n):
+                gram = gram + (low[mine + i] + np.uint64(1)) * _odd[8 + i]
+            gram = mix(gram)
+            slot = (gram >> np.uint64(40)).astype(np.int64)
+            often = np.bincount(slot, minlength=1 << 24)[slot] >= FRAMES  # no gram of fewer places is looked at further
+            mine, gram = mine[often], gram[often]
+            if not len(mine):
+                continue
+            _, place, name = np.unique(gram, return_index=True, return_inverse=True)
+            pairs = np.unique(name.astype(np.int64) * count + number[mine])
+            frames, places = np.bincount(pairs // count, minlength=len(place)), np.bincount(name)
+            page = self.text[mine[place]]
+            bait[page[(frames >= np.maximum(FRAMES, 0.5 * different[page])) & (places >= DENSE * frames)]] = True
+            good = frames[name] >= FRAMES
+            np.add.at(covered, mine[good], 1)
+            np.add.at(covered, mine[good] + n, -1)
+        told = np.add.reduceat(((np.cumsum(covered)[:-1] > 0) & self.solid).astype(np.int64), start)
+        odd = ((told >= FORETOLD * solid) & (told > 0))[first[copy]]
+        return odd, odd & bait[owner]
 
 
 def grams(seq: np.ndarray) -> np.ndarray:
@@ -141,74 +212,6 @@ def grams(seq: np.ndarray) -> np.ndarray:
     return (a * CLASSES + b) * CLASSES + seq
 
 
-def sentences(text: str) -> tuple[list[str], int]:
-    """The ended sentences of the text, and its length, white space around lines aside."""
-    parts, total = [], 0
-    for line in text.split("\n"):
-        line = line.strip()
-        total += len(line)
-        end = 0
-        for m in SENTENCE.finditer(line):
-            parts.append(line[end : m.end()])
-            end = m.end()
-    return parts, total
-
-
-def prose_share(text: str) -> float:
-    """Share of the text, white space aside, that stands in ended sentences."""
-    parts, total = sentences(text)
-    return sum(map(len, parts)) / total if total else 0.0
-
-
-def phrases(sentence: str) -> list[tuple[str, ...]]:
-    units = UNIT.findall(sentence.lower())
-    n = 4 if 2 * sum(u >= "぀" for u in units) > len(units) else 2
-    return list(zip(*(units[k:] for k in range(n))))
-
-
-def strung(parts: list[str], need: float) -> tuple[int, float]:
-    """(characters of the sentences that hold the phrase of most of them, its places a sentence); zeros below ``need``."""
-    sizes: Counter = Counter()
-    for p in parts:
-        sizes[p] += len(p)
-    left, most, since = sum(sizes.values()), 0, 0
-    held: Counter = Counter()
-    for p, size in sizes.items():
-        for phrase in set(phrases(p)):
-            held[phrase] += size
-        left -= size
-        since += size
-        if since >= need / 8:  # no phrase may come up to it any more
-            most, since = max(held.values(), default=0), 0
-            if most + left < need:
-                return 0, 0.0
-    best = (0, 0.0)
-    frames: Counter = Counter()
-    places: Counter = Counter()
-    likely = {phrase for phrase, size in held.items() if size >= need and not FUNCTION.issuperset(phrase)}
-    for p in sizes if likely else ():
-        own = [phrase for phrase in phrases(p) if phrase in likely]
-        places.update(own)
-        frames.update(set(own))
-    for phrase in likely:
-        if frames[phrase] >= FRAMES and places[phrase] >= PLACES:
-            best = max(best, (held[phrase], places[phrase] / frames[phrase]))
-    return best
-
-
-def told_share(text: str, most: float) -> tuple[float, float]:
-    """(share of the text in telling sentences, places a sentence of the phrase it is built around or 0).
-
-    The phrase is looked for as far as it may bring the share down to ``most``.
-    """
-    parts, total = sentences(text)
-    told = sum(map(len, parts))
-    if told <= most * total or len(parts) < FRAMES:
-        return (told / total if total else 0.0), 0.0
-    held, dense = strung(parts, told - most * total)
-    return (told - held) / total, dense
-
-
 class Model:
     """Interpolated trigram model over classes: bits of each token."""
 
@@ -224,10 +227,25 @@ class Model:
         n3 = tri.sum(2, keepdims=True)
         self.bits = (-np.log2((tri + 5.0 * p2) / (n3 + 5.0))).astype(np.float32).ravel()
 
-    def score(self, seq: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-        bits = self.bits[grams(seq)]
+    def windows(self, seq: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Mean bits in the window around each token; a window ends with its text."""
         real = seq != START
-        return np.bincount(text[real], bits[real], n) / np.maximum(1, np.bincount(text[real], minlength=n))
+        total = np.concatenate([[0.0], np.cumsum(np.where(real, self.bits[grams(seq)], 0.0).astype(np.float64))])
+        place = np.arange(len(seq))
+        lead = np.searchsorted(text, np.arange(int(text[-1]) + 1))
+        first = lead[text] + 1
+        last = np.append(lead[1:], len(seq))[text] - 1  # without the mark of the text's end
+        high = np.minimum(np.maximum(place - WINDOW // 2, first) + WINDOW, last)
+        low = np.maximum(high - WINDOW, first)
+        return (total[high] - total[low]) / np.maximum(1, high - low)
+
+
+def prosaic(batch: Batch, number: np.ndarray, ended: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which texts are prose to train on."""
+    solid = np.bincount(batch.text, batch.solid, batch.n)
+    told = np.bincount(batch.text, batch.solid & ended[number], batch.n)
+    strung = np.bincount(batch.text, batch.solid & own[number], batch.n)
+    return (solid >= 80) & (told >= 0.9 * solid) & (strung <= 0.25 * solid)
 
 
 def _slices(b: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
@@ -239,66 +257,86 @@ def _slices(b: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
             low, held = i + 1, 0
 
 
-def _train(most: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**3, np.int64)
-        for b in batches:
-            for _, texts in _slices(b):
-                prose = [t for t in texts if len(t) >= 100 and told_share(t, most)[0] >= 0.9]
-                if prose:
-                    g = grams(sequence(prose)[0])
-                    cells, counts = np.unique(g, return_counts=True)
-                    total[cells] += counts
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(CLASSES**3, np.int64)
+    for b in batches:
+        for _, texts in _slices(b):
+            batch = Batch(texts)
+            number, ended = batch.sentences()
+            good = prosaic(batch, number, ended, batch.foretold(number)[0])
+            seq, text, _, _ = batch.tokens()
+            cells, counts = np.unique(grams(seq)[good[text]], return_counts=True)
+            total[cells] += counts
+    cells = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
 
-    return run
 
+#: The model of this worker process, by the name of its run.
+_models: dict[str, Model] = {}
 
-def telling(text: str, most: float) -> tuple[float, int, int, float]:
-    """For the exact check: share told in sentences, items of the text, distinct words among those, and ``told_share``'s places."""
-    told, dense = told_share(text, most)
-    items = [x for x in ITEM.split(text) if x and (WORDLIKE.search(x))]
-    return told, len(items), len(set(items)), dense
 
+def _model(name: str, held) -> Model:
+    if name not in _models:
+        _models.clear()
+        _models[name] = Model(*held.value)
+    return _models[name]
 
-def _score(model, most: float):
+
+SCORES = "row bigint, prose boolean, cells array<smallint>, chars array<int>, plain boolean"
+
+
+def _score(name: str, held, min_share: float, min_items: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
         for b in batches:
-            own = own or Model(*model.value)
             for keys, texts in _slices(b):
-                seq, text = sequence(texts)
-                score = own.score(seq, text, len(texts))
-                told = [telling(t, most) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(score, pa.float64()), pa.array([x[0] for x in told], pa.float64()), pa.array([x[1] for x in told], pa.int64()), pa.array([x[2] for x in told], pa.int64()), pa.array([x[3] for x in told], pa.float64()), pa.array([len(t) for t in texts], pa.int64())],
-                    names=["row", "bits", "told", "items", "words", "dense", "chars"],
-                )
+                batch = Batch(texts)
+                number, ended = batch.sentences()
+                likely, own = batch.foretold(number)
+                good = prosaic(batch, number, ended, likely)
+                seq, text, begin, chars = batch.tokens()
+                cell = np.minimum((_model(name, held).windows(seq, text) / CELL_WIDTH).astype(np.int64), CELLS)
+                cell[own[number[begin]]] = OWN
+                both, back = np.unique(text * (OWN + 1) + cell, return_inverse=True)
+                weight = np.bincount(back, chars, len(both)).astype(np.int32)
+                offsets = pa.array(np.searchsorted(both, np.arange(batch.n + 1) * (OWN + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v, k)) for v, k in (((both % (OWN + 1)).astype(np.int16), pa.int16()), (weight, pa.int32()))]
+                plain = pa.array([one_thing(t, min_items) for t in texts])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(good), *lists, plain], names=["row", "prose", "cells", "chars", "plain"])
 
     return run
 
 
-def scored(df: DataFrame, row: str, text: str, min_share: float = 0.75) -> tuple[DataFrame, float, float]:
-    """(row, bits, told, items, words, dense, chars) of each non-blank text, and the bounds of normal bits per token."""
+def one_thing(text: str, min_items: int) -> bool:
+    """Is the text one symbol, word or number, or hardly more than that?"""
+    words = [x for x in ITEM.split(text) if x and WORDLIKE.search(x)] if len(text) < 4000 else ITEM.split(text)
+    return len(words) < min_items or len(set(words)) < 2
+
+
+def scored(df: DataFrame, row: str, text: str, min_share: float = 0.75, min_items: int = 6) -> tuple[DataFrame, float, float]:
+    """(row, prose, cells, chars, plain) of each non-blank text, and the first and last cell of normal windows.
+
+    cells, chars: how many characters stand in windows of how many bits.
+    """
     spark = df.sparkSession
     ship(spark)
     texts = df.select(F.col(f"`{row}`").cast("bigint").alias("row"), F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").rlike(r"\S"))
-    counts = texts.mapInArrow(_train(1 - min_share), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSES cubed rows
+    counts = texts.mapInArrow(_train, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSES cubed rows
     model = spark.sparkContext.broadcast((counts["cell"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)))
-    out = written(texts.mapInArrow(_score(model, 1 - min_share), "row bigint, bits double, told double, items bigint, words bigint, dense double, chars bigint"), "spam")
-    prose = out.where("told >= 0.9 and chars >= 100").groupBy(F.least(F.floor(F.col("bits") / CELL_WIDTH), F.lit(CELLS)).alias("cell")).count().toPandas()
+    out = written(texts.mapInArrow(_score(uuid.uuid4().hex, model, min_share, min_items), SCORES), "spam")
+    held = out.where("prose").select(F.explode(F.arrays_zip("cells", "chars")).alias("x")).select("x.*").where(F.col("cells") < OWN)
+    prose = held.groupBy("cells").agg(F.sum("chars").alias("n")).orderBy("cells").toPandas()  # a row per cell
     if not len(prose):
-        return out, 0.0, 0.0
-    prose = prose.sort_values("cell")
-    share = prose["count"].cumsum() / prose["count"].sum()
-    at = lambda q: float(prose["cell"].to_numpy()[int(np.searchsorted(share.to_numpy(), q))])
-    low, middle, high = at(0.005), at(0.5), at(0.995)
-    return out, (low - 0.1 * (middle - low)) * CELL_WIDTH, (high + 1 + 0.1 * (high - middle)) * CELL_WIDTH
+        return out, 0.0, float(CELLS)
+    share = (prose["n"].cumsum() / prose["n"].sum()).to_numpy()
+    at = lambda q: float(prose["cells"].to_numpy()[min(int(np.searchsorted(share, q)), len(share) - 1)])
+    low, middle, high = at(TAIL), at(0.5), at(1 - TAIL)
+    return out, low - 0.1 * (middle - low), high + 0.1 * (high - middle)
 
 
 def stuffed(df: DataFrame, row: str, text: str, min_share: float = 0.75, min_items: int = 6) -> DataFrame:
     """(row): pages of search words, tags, links or bare titles rather than sentences."""
-    out, low, high = scored(df, row, text, min_share)
-    odd = out.where((F.col("bits") < low) | (F.col("bits") > high) | (F.col("dense") >= DENSE))
-    return odd.where((F.col("told") <= 1 - min_share) & (F.col("items") >= min_items) & (F.col("words") >= 2)).select("row")
+    out, low, high = scored(df, row, text, min_share, min_items)
+    pair = F.arrays_zip("cells", "chars")
+    sum_of = lambda keep: F.aggregate(F.filter(pair, keep), F.lit(0).cast("bigint"), lambda s, x: s + x["chars"])
+    odd = sum_of(lambda x: (x["cells"] == OWN) | (x["cells"] < low) | (x["cells"] > high))
+    return out.where(~F.col("plain") & (odd >= min_share * sum_of(lambda x: F.lit(True)))).select("row")

@@ -193,10 +193,21 @@ def test_keyword_spam_in_sentence_frames(spark):
     assert sorted(r.row for r in keyword_spam.stuffed(df, "id", "text").collect()) == [80, 81, 82]
 
 
+def test_keyword_spam_rows_come_from_the_model(spark, monkeypatch):
+    rnd = random.Random(4)
+    people, things = ["沈青禾", "裴远山", "顾知秋", "说书人"], ["灯笼", "旧账本", "银簪", "断剑"]
+    prose = ["".join(f"{rnd.choice(people)}把{rnd.choice(things)}放在桌上，心里想起了{rnd.choice(things)}的事。他没有说话，只是笑着退到一边。" for _ in range(8)) for _ in range(80)]
+    lists = ["免费小说 穿越 重生 " * 20, "\n".join(f"第{i}章 渡口灯火" for i in range(40)), " | ".join(f"Ch. {i} Smoke at Fen{i}mond" for i in range(30))]
+    df = spark.createDataFrame(list(enumerate([*prose, *lists])), "id bigint, text string")
+    assert sorted(r.row for r in keyword_spam.stuffed(df, "id", "text").collect()) == [80, 81, 82]
+    monkeypatch.setattr(keyword_spam, "CELL_WIDTH", 1e9)  # all windows alike: the model says nothing
+    assert keyword_spam.stuffed(df, "id", "text").count() == 0
+
+
 def test_sequences_keep_texts_apart():
     texts = ["", "Le chat dort.", "的的的", "a" * 50, "免费 小说"]
-    seq, text = keyword_spam.sequence(texts)
+    seq, text, _, _ = keyword_spam.Batch(texts).tokens()
     for k, t in enumerate(texts):
-        one, _ = keyword_spam.sequence([t])
+        one = keyword_spam.Batch([t]).tokens()[0]
         assert one.tolist() == seq[text == k].tolist()
     assert np.all(seq < keyword_spam.CLASSES)
