@@ -14,6 +14,9 @@ least ``min_share`` of its characters stand where it is abnormally high or low f
   a refrain foretells nothing, and in half of the page's sentences some run must come back within a sentence
   (``DENSE`` places a sentence), so that numbered sentences of one pattern are none.
 
+An exact check of the flagged pages follows: at most ``1 - min_share`` of the characters stand in telling
+sentences, that is ended ones which a page of ``PLACES`` different sentences or more does not foretell.
+
 Prose to train on is decided without labels: a page whose text stands in ended sentences for nine tenths
 and hardly foretells itself. The model and the histograms are counts over all documents, merged by adding;
 their size is bounded by the number of classes (``CLASSES`` cubed) and of histogram cells.
@@ -58,8 +61,10 @@ WINDOW = 32
 CELLS, CELL_WIDTH = 400, 0.05
 OWN = CELLS + 1
 TAIL = 0.005
-OWN_HAN, OWN_LATIN, FRAMES, FORETOLD, DENSE = 5, 12, 3, 0.5, 1.1
+OWN_HAN, OWN_LATIN, FRAMES, PLACES, FORETOLD, DENSE = 5, 12, 3, 6, 0.5, 1.1
 ITEM = re.compile(r"[\n|·,，、;；#>]|\s{1,}")
+#: The number of an item at the start of a line, which tells sentences and titles alike nothing.
+ITEM_NUMBER = re.compile(r"^[^\S\n]*[0-9]{1,4}\s?[.、)）．][^\S\n]*(?=[^\s0-9])", re.M)
 WORDLIKE = re.compile(r"[^\W\d_]")
 
 
@@ -102,13 +107,14 @@ class Batch:
     def __init__(self, texts: list[str]):
         kind = classes()[0]
         self.n = len(texts)
+        texts = [ITEM_NUMBER.sub("", t) for t in texts]
         self.raw = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "replace"), np.uint32)
         self.ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
         k = kind[self.raw].astype(np.int64)
-        for c in np.flatnonzero(self.raw == 0x2E).tolist():  # a point before a number ends no sentence
-            if c + 2 < len(k) and k[c + 1] == GAP and k[c + 2] == NUMBER:
-                k[c] = PAUSE
         k[self.raw == 0] = START
+        dot = np.flatnonzero(self.raw == 0x2E)  # a point within an address, or before a number, ends no sentence
+        after, then = k[dot + 1], k[np.minimum(dot + 2, len(k) - 1)]
+        k[dot[~np.isin(after, (GAP, LINE, START, STOP, QUOTE, CLOSE)) | ((after == GAP) & (then == NUMBER))]] = PAUSE
         self.kind = k
         self.text = np.repeat(np.arange(self.n), np.diff(self.ends, prepend=0))
         self.solid = (k != GAP) & (k != LINE) & (k != START)
@@ -138,6 +144,15 @@ class Batch:
             link = (size[word[~known]] >= 4) & (first == ord("h")) & (raw[np.minimum(begin[word[~known]] + 3, len(raw) - 1)] == ord("p"))
             out[word[~known][link]] = LINK
         text, chars = self.text[begin], np.add.reduceat(self.solid.astype(np.int64), begin)
+        # layout: a line's end after an ended sentence, and gaps beside lines' ends, say nothing
+        place = np.arange(len(out))
+        line = (out == LINE) | (out == START)
+        before = np.maximum.accumulate(np.where((out == GAP) | (out == LINE) | (out == QUOTE) | (out == CLOSE), 0, place))
+        beside = np.zeros(len(out), bool)
+        beside[1:] = line[:-1]
+        beside[:-1] |= line[1:]
+        keep = ~(((out == GAP) & beside) | ((out == LINE) & (out[before] == STOP)))
+        out, text, begin, chars = out[keep], text[keep], begin[keep], chars[keep]
         lead = np.searchsorted(text, np.arange(self.n))
         out, text, begin, chars = np.insert(out, lead, START), np.insert(text, lead, np.arange(self.n)), np.insert(begin, lead, begin[lead]), np.insert(chars, lead, 0)
         place = np.arange(len(out))
@@ -187,8 +202,8 @@ class Batch:
             for i in range(n):
                 gram = gram + (low[mine + i] + np.uint64(1)) * _odd[8 + i]
             gram = mix(gram)
-            slot = (gram >> np.uint64(40)).astype(np.int64)
-            often = np.bincount(slot, minlength=1 << 24)[slot] >= FRAMES  # no gram of fewer places is looked at further
+            slot = (gram >> np.uint64(44)).astype(np.int64)
+            often = np.bincount(slot, minlength=1 << 20)[slot] >= FRAMES  # no gram of fewer places is looked at further
             mine, gram = mine[often], gram[often]
             if not len(mine):
                 continue
@@ -201,7 +216,7 @@ class Batch:
             np.add.at(covered, mine[good], 1)
             np.add.at(covered, mine[good] + n, -1)
         told = np.add.reduceat(((np.cumsum(covered)[:-1] > 0) & self.solid).astype(np.int64), start)
-        odd = ((told >= FORETOLD * solid) & (told > 0))[first[copy]]
+        odd = ((told >= FORETOLD * solid) & (told > 0) & (different[owner] >= PLACES))[first[copy]]
         return odd, odd & bait[owner]
 
 
@@ -282,7 +297,7 @@ def _model(name: str, held) -> Model:
     return _models[name]
 
 
-SCORES = "row bigint, prose boolean, cells array<smallint>, chars array<int>, plain boolean"
+SCORES = "row bigint, prose boolean, cells array<smallint>, chars array<int>, telling int, plain boolean"
 
 
 def _score(name: str, held, min_share: float, min_items: int):
@@ -300,20 +315,21 @@ def _score(name: str, held, min_share: float, min_items: int):
                 weight = np.bincount(back, chars, len(both)).astype(np.int32)
                 offsets = pa.array(np.searchsorted(both, np.arange(batch.n + 1) * (OWN + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(v, k)) for v, k in (((both % (OWN + 1)).astype(np.int16), pa.int16()), (weight, pa.int32()))]
+                telling = np.bincount(batch.text, batch.solid & (ended & ~likely)[number], batch.n).astype(np.int32)
                 plain = pa.array([one_thing(t, min_items) for t in texts])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(good), *lists, plain], names=["row", "prose", "cells", "chars", "plain"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(good), *lists, pa.array(telling), plain], names=["row", "prose", "cells", "chars", "telling", "plain"])
 
     return run
 
 
 def one_thing(text: str, min_items: int) -> bool:
     """Is the text one symbol, word or number, or hardly more than that?"""
-    words = [x for x in ITEM.split(text) if x and WORDLIKE.search(x)] if len(text) < 4000 else ITEM.split(text)
+    words = [x for x in ITEM.split(text) if x and WORDLIKE.search(x)]
     return len(words) < min_items or len(set(words)) < 2
 
 
 def scored(df: DataFrame, row: str, text: str, min_share: float = 0.75, min_items: int = 6) -> tuple[DataFrame, float, float]:
-    """(row, prose, cells, chars, plain) of each non-blank text, and the first and last cell of normal windows.
+    """(row, prose, cells, chars, telling, plain) of each non-blank text, and the first and last cell of normal windows.
 
     cells, chars: how many characters stand in windows of how many bits.
     """
@@ -339,4 +355,5 @@ def stuffed(df: DataFrame, row: str, text: str, min_share: float = 0.75, min_ite
     pair = F.arrays_zip("cells", "chars")
     sum_of = lambda keep: F.aggregate(F.filter(pair, keep), F.lit(0).cast("bigint"), lambda s, x: s + x["chars"])
     odd = sum_of(lambda x: (x["cells"] == OWN) | (x["cells"] < low) | (x["cells"] > high))
-    return out.where(~F.col("plain") & (odd >= min_share * sum_of(lambda x: F.lit(True)))).select("row")
+    total = sum_of(lambda x: F.lit(True))
+    return out.where(~F.col("plain") & (odd >= min_share * total) & (F.col("telling") <= (1 - min_share) * total)).select("row")
