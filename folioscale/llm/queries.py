@@ -27,8 +27,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
     """Chapters of job and previews as pages."""
-    jobs = _chapters(spark, folder).select(F.lit("job").alias("tab"), F.col("rec_id").alias("row_id"), F.col("source_id").alias("source"), "title", "content")
-    previews = table(spark, folder, "fetch_preview").select(F.lit("fetch_preview").alias("tab"), F.col("preview_id").alias("row_id"), F.col("source_id").alias("source"), "title", F.col("text_preview").alias("content"))
+    jobs = _chapters(spark, folder).select(F.lit("job").alias("tab"), F.col("rec_id").alias("row_id"), F.col("source_id").alias("source"), "title", "content", F.lit(None).cast("string").alias("html"))
+    previews = table(spark, folder, "fetch_preview").select(F.lit("fetch_preview").alias("tab"), F.col("preview_id").alias("row_id"), F.col("source_id").alias("source"), "title", F.col("text_preview").alias("content"), F.col("html_preview").alias("html"))
     return jobs.unionByName(previews)
 
 

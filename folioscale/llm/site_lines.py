@@ -15,8 +15,9 @@ a chapter counts once).
 
 *Bound of the broadcasts.* A confirmed line takes ``min_share`` of its source's chapters, so a
 source has at most (lines per chapter) / ``min_share`` of them; candidates are at most ``counters``
-per source, cut to those above the source's threshold less the bound. Both sets are split into
-blocks of ``block_lines`` and each block is used in a pass of its own.
+per source, cut to those above the source's threshold less the bound. Candidates and confirmed lines
+stay tables; up to ``block_lines`` of them are broadcast, more are laid out by source in the shared
+folder, where each worker reads the sets of the sources it meets. No pass is repeated for them.
 
 Two lines are the same if equal without any white space and with each run of 0-9 taken as one.
 Lines of white space only do not count. Null content holds no line and its chapter does not count.
@@ -26,14 +27,17 @@ A null source or chapter key is a value like any other.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+import zlib
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship, written
+from ..session import open_folder, scratch, ship, written
 
 SPACE_IN_LINE = re.compile(r"[^\S\n]+")
 DIGITS = re.compile(r"[0-9]+")
@@ -58,7 +62,7 @@ def cut(counts: dict[str, int], counters: int) -> int:
     return take
 
 
-def _summarise(counters: int, extra=None):
+def _summarise(counters: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str | None, dict[str, int]] = defaultdict(dict)
         lost: dict[str | None, int] = defaultdict(int)
@@ -70,8 +74,6 @@ def _summarise(counters: int, extra=None):
                 for k in set(line_keys(content)):
                     if k:
                         counts[k] = counts.get(k, 0) + 1
-                for group, k in extra(content) if extra else ():
-                    held[group][k] = held[group].get(k, 0) + 1
                 if len(counts) > SLACK * counters:
                     lost[source] += cut(counts, counters)
         for source, counts in held.items():
@@ -107,46 +109,105 @@ def _merge(counters: int, keep: bool):
     return run
 
 
-def summaries(texts: DataFrame, counters: int, extra=None) -> DataFrame:
+def summaries(texts: DataFrame, counters: int) -> DataFrame:
     """(source, lines, counts, lost): a merged summary for each source.
 
-    extra: a function from a content to further (group, key) pairs, summarised as groups of their own.
-
     Partial summaries of a source are merged in two levels, so that none gathers those of all
     partitions at once.
     """
     kind = "source string, lines array<string>, counts array<bigint>, lost bigint"
-    parts = texts.mapInArrow(_summarise(counters, extra), kind).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
+    parts = texts.mapInArrow(_summarise(counters), kind).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
     return parts.groupBy("source", "part").applyInArrow(_merge(counters, False), kind + ", part int").groupBy("source").applyInArrow(_merge(counters, True), kind)
 
 
-def _occurrences(wanted):
-    """(source, line, job, chapter): which candidate stands in which chapter; line -1 is the chapter itself."""
+def candidates(texts: DataFrame, need: DataFrame, counters: int) -> DataFrame:
+    """(source, line, id, need): the lines that may stand in ``need`` records of their source, numbered within it.
+
+    texts: (source, content); need: (source, need). If a summary lost too much to be sure, all are made
+    again with four times the counters.
+    """
+    least = need.select(F.col("source").alias("its_source"), "need")
+    while True:
+        got = written(summaries(texts, counters), "lines")
+        both = got.join(least, F.col("source").eqNullSafe(F.col("its_source")))
+        if both.where(F.col("lost") >= F.col("need")).isEmpty():
+            break
+        counters *= 4
+    rows = both.select("source", "lost", "need", F.explode(F.arrays_zip("lines", "counts")).alias("x")).where(F.col("x.counts") + F.col("lost") >= F.col("need"))
+    number = F.row_number().over(Window.partitionBy("source").orderBy("line"))  # of at most ``counters`` lines
+    return written(rows.select("source", F.col("x.lines").alias("line"), "need").withColumn("id", number), "candidates")
+
+
+_read: OrderedDict[tuple[str, int], dict] = OrderedDict()
+
+
+class SetsBySource:
+    """Lines with a number each, by source, for use in workers. rows: (source, line, id).
+
+    At most ``limit`` lines are broadcast; beyond that they lie in the shared folder in files by the
+    source's checksum, and each worker reads the files of the sources it meets and keeps the last ``KEEP``.
+    """
+
+    KEEP = 64
+
+    def __init__(self, rows: DataFrame, limit: int):
+        spark = rows.sparkSession
+        rows = written(rows, "sets")
+        total = rows.count()
+        self.held, self.uri, self.buckets = None, "", 0
+        if total <= limit:
+            sets: dict[str | None, dict[str, int]] = defaultdict(dict)
+            for r in rows.collect():  # at most ``limit``
+                sets[r["source"]][r["line"]] = r["id"]
+            self.held = spark.sparkContext.broadcast(dict(sets))
+            return
+        self.buckets = 16 * -(-total // limit)
+        self.uri = scratch(spark, "sets-by-source")
+        bucket = F.pmod(F.crc32(F.encode(F.coalesce("source", F.lit("")), "utf-8")), F.lit(self.buckets)).cast("int")
+        rows.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(self.uri)
+
+    def of(self, source: str | None) -> dict[str, int]:
+        if self.held is not None:
+            return self.held.value.get(source, {})
+        where = self.uri, zlib.crc32((source or "").encode()) % self.buckets
+        if where not in _read:
+            sets: dict[str | None, dict[str, int]] = defaultdict(dict)
+            fs, path = open_folder(f"{self.uri}/bucket={where[1]}")
+            if fs.get_file_info(path).type != pafs.FileType.NotFound:
+                t = pq.read_table(path, filesystem=fs, columns=["source", "line", "id"], partitioning=None)
+                for s, k, n in zip(*(t.column(c).to_pylist() for c in ("source", "line", "id"))):
+                    sets[s][k] = n
+            _read[where] = dict(sets)
+            if len(_read) > self.KEEP:
+                _read.popitem(last=False)
+        _read.move_to_end(where)
+        return _read[where].get(source, {})
+
+
+def _occurrences(wanted: SetsBySource):
+    """(source, line, job, chapter): which candidate stands in which chapter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = wanted.value
         for b in batches:
             sources, lines, at = [], [], []
             for i, (source, content) in enumerate(zip(b.column("source").to_pylist(), b.column("content").to_pylist())):
-                own = numbers.get(source)
-                got = {own[k] for k in line_keys(content) if k in own} if own else ()
-                for n in (-1, *got):
+                own = wanted.of(source)
+                for n in {own[k] for k in line_keys(content) if k in own} if own else ():
                     sources.append(source)
                     lines.append(n)
                     at.append(i)
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(lines, pa.int32()), b.column("job").take(at), b.column("chapter").take(at)], names=["source", "line", "job", "chapter"])
+            yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(lines, pa.int32()), b.column("job").take(at), b.column("chapter").take(at)], names=["source", "id", "job", "chapter"])
 
     return run
 
 
-def _mark(confirmed):
+def _mark(confirmed: SetsBySource):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = confirmed.value
         for b in batches:
             rows, numbers = [], []
             for source, row, content in zip(b.column("source").to_pylist(), b.column("row").to_pylist(), b.column("content").to_pylist()):
-                own = sets.get(source)
+                own = confirmed.of(source)
                 if own:
                     for n, k in enumerate(line_keys(content), 1):
                         if k in own:
@@ -157,15 +218,14 @@ def _mark(confirmed):
     return run
 
 
-def _strip(confirmed):
+def _strip(confirmed: SetsBySource):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = confirmed.value
         for b in batches:
             out = []
             for source, content in zip(b.column("source").to_pylist(), b.column("content").to_pylist()):
-                own = sets.get(source)
-                out.append(content if content is None or not own else "\n".join(p for p, k in zip(content.split("\n"), line_keys(content)) if k not in own))
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("source"), pa.array(out, pa.string())], names=["row", "source", "content"])
+                own = {} if content is None else confirmed.of(source)
+                out.append(content if not own else "\n".join(p for p, k in zip(content.split("\n"), line_keys(content)) if k not in own))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], names=["row", "content"])
 
     return run
 
@@ -178,66 +238,31 @@ class SiteLines:
 
     def __init__(self, df: DataFrame, source: str, job: str, chapter: str, content: str, row: str, min_chapters: int = 5, min_share: float = 0.04, counters: int = 2000, block_lines: int = 200_000):
         ship(df.sparkSession)
-        self.spark = df.sparkSession
         named = {"row": row, "source": source, "job": job, "chapter": chapter, "content": content}
         self.all = df.select(*(F.col(f"`{c}`").cast("string" if n in ("source", "content") else df.schema[c].dataType).alias(n) for n, c in named.items()))
         self.texts = self.all.where(F.col("content").isNotNull())
         self.min_chapters, self.min_share, self.counters, self.block_lines = min_chapters, min_share, counters, block_lines
-        self._confirmed: list[dict[str | None, set[str]]] | None = None
-
-    def _candidates(self) -> list[dict[str | None, dict[str, int]]]:
-        chapters = self.texts.groupBy("source", "job", "chapter").count().groupBy("source").agg(F.count("*").alias("n"))
-        least = {r["source"]: max(self.min_chapters, self.min_share * r["n"]) for r in chapters.collect()}  # a row per source
-        counters = self.counters
-        while True:
-            got = written(summaries(self.texts.select("source", "content"), counters), "lines")
-            bounds = {r["source"]: r["lost"] for r in got.select("source", "lost").collect()}
-            if all(bounds[s] < least[s] for s in bounds):
-                break
-            counters *= 4
-        need = self.spark.createDataFrame([(s, float(n)) for s, n in least.items()], "need_source string, need double")
-        rows = got.join(F.broadcast(need), F.col("source").eqNullSafe(F.col("need_source"))).select("source", "lost", "need", F.explode(F.arrays_zip("lines", "counts")).alias("x"))
-        rows = rows.where(F.col("x.counts") + F.col("lost") >= F.col("need")).select("source", F.col("x.lines").alias("line"))
-        blocks: list[dict] = [defaultdict(dict)]
-        held = 0
-        for r in rows.toLocalIterator():
-            if held == self.block_lines:
-                blocks.append(defaultdict(dict))
-                held = 0
-            blocks[-1][r["source"]][r["line"]] = len(blocks[-1][r["source"]])
-            held += 1
-        return [dict(b) for b in blocks]
-
-    def confirmed(self) -> list[dict[str | None, set[str]]]:
-        """The repeated lines' keys by source, in blocks of at most ``block_lines``."""
+        self._confirmed: SetsBySource | None = None
+
+    def confirmed(self) -> SetsBySource:
+        """The repeated lines' keys by source."""
         if self._confirmed is None:
-            self._confirmed = []
-            for block in self._candidates():
-                held = self.spark.sparkContext.broadcast(block)
-                kinds = {f.name: f.dataType.simpleString() for f in self.all.schema}
-                seen = self.texts.select("source", "job", "chapter", "content").mapInArrow(_occurrences(held), f"source string, line int, job {kinds['job']}, chapter {kinds['chapter']}")
-                counts = seen.groupBy("source", "line", "job", "chapter").count().groupBy("source", "line").agg(F.count("*").alias("n"))
-                counts = counts.collect()  # a row per candidate of the block
-                total = {r["source"]: r["n"] for r in counts if r["line"] == -1}
-                kept: dict[str | None, set[str]] = defaultdict(set)
-                names = {s: {n: k for k, n in lines.items()} for s, lines in block.items()}
-                for r in counts:
-                    if r["line"] >= 0 and r["n"] >= self.min_chapters and r["n"] >= self.min_share * total[r["source"]]:
-                        kept[r["source"]].add(names[r["source"]][r["line"]])
-                self._confirmed.append(dict(kept))
+            chapters = self.texts.groupBy("source", "job", "chapter").count().groupBy("source").agg(F.count("*").alias("n"))
+            need = written(chapters.select("source", F.greatest(F.lit(float(self.min_chapters)), self.min_share * F.col("n")).alias("need")), "chapters")
+            found = candidates(self.texts.select("source", "content"), need, self.counters)
+            kinds = {f.name: f.dataType.simpleString() for f in self.all.schema}
+            wanted = SetsBySource(found.select("source", "line", "id"), self.block_lines)
+            seen = self.texts.select("source", "job", "chapter", "content").mapInArrow(_occurrences(wanted), f"source string, id int, job {kinds['job']}, chapter {kinds['chapter']}")
+            counts = seen.groupBy("source", "id", "job", "chapter").count().groupBy("source", "id").agg(F.count("*").alias("n"))
+            counts = counts.select(F.col("source").alias("its_source"), F.col("id").alias("its_id"), "n")
+            kept = found.join(counts, (F.col("id") == F.col("its_id")) & F.col("source").eqNullSafe(F.col("its_source"))).where("n >= need")
+            self._confirmed = SetsBySource(kept.select("source", "line", "id"), self.block_lines)
         return self._confirmed
 
     def marked(self) -> DataFrame:
         """(row, line_no): every place of a repeated line; lines count from 1, blank ones too."""
-        out = None
-        for block in self.confirmed():
-            got = self.texts.select("row", "source", "content").mapInArrow(_mark(self.spark.sparkContext.broadcast(block)), "row bigint, line_no int")
-            out = got if out is None else out.unionByName(got)
-        return out
+        return self.texts.select("row", "source", "content").mapInArrow(_mark(self.confirmed()), "row bigint, line_no int")
 
     def removed(self) -> DataFrame:
         """(row, content): each record's content without the repeated lines; null stays null."""
-        df = self.all.select("row", "source", "content")
-        for block in self.confirmed():
-            df = df.mapInArrow(_strip(self.spark.sparkContext.broadcast(block)), "row bigint, source string, content string")
-        return df.select("row", "content")
+        return self.all.select("row", "source", "content").mapInArrow(_strip(self.confirmed()), "row bigint, content string")

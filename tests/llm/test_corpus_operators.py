@@ -44,6 +44,15 @@ def test_site_lines_against_brute_force(spark):
     assert all(kept[row] == (None if c is None else "\n".join(p for i, p in enumerate(c.split("\n"), 1) if (row, i) not in gone)) for _, _, _, c, row in rows)
 
 
+def test_sets_of_many_sources_are_read_from_the_shared_folder(spark):
+    rows = [(f"s{i % 40}" if i % 41 else None, f"line {i}", i) for i in range(600)]
+    df = spark.createDataFrame(rows, "source string, line string, id int")
+    few, many = site_lines.SetsBySource(df, 10_000), site_lines.SetsBySource(df, 50)
+    assert few.buckets == 0 and many.buckets > 64
+    for s in [None, "none", *(f"s{k}" for k in range(40))]:
+        assert few.of(s) == many.of(s) == {k: n for x, k, n in rows if x == s}
+
+
 def test_site_lines_empty(spark):
     op = site_lines.SiteLines(spark.createDataFrame([], "s string, j string, n int, c string, r bigint"), "s", "j", "n", "c", "r")
     assert op.marked().count() == 0 and op.removed().count() == 0

@@ -153,12 +153,31 @@ def test_page_bodies(spark):
 
 
 def test_cut_pages():
-    text = STORY + "\n" + STORY[:20]
-    assert page_body.Reader(set()).story(text, None) == [True, False] and page_body.Reader(set()).story(text, None, len(text)) == [True, True]
+    text = STORY + "\n" + STORY[:20]  # whatever length a table cuts its texts at: what lies open is told by the lines around it
+    assert page_body.Reader(set()).story(text, None) == [True, True]
+    entries = "\n".join(["雨川长生书生", "我在青台做傀儡", "云桥书生"])
+    assert page_body.Reader(set()).story(STORY + "\n" + entries, None) == [True, False, False, False]
     many = "a/b·c|" * 20_000
     assert page_body.Reader(set()).story(many + "\n" + STORY, "t") == [False, True]
 
 
+def test_page_bodies_come_from_the_density(monkeypatch):
+    reader = page_body.Reader({k for k in page_body.line_keys("灯下文学\n首页\n书架")}, "灯下文学")
+    before = reader.story(page(3), "第3章 渡口")
+    assert before.count(False) >= 10
+    monkeypatch.setattr(page_body, "density", lambda c, lc, t, lt, share: 1.0)  # every node as dense as any other
+    assert reader.story(page(3), "第3章 渡口").count(False) == 0
+
+
+def test_page_bodies_by_markup():
+    html = '<html><head><title>x</title></head><body><div class="top"><a href="/">首页</a> <a href="/b">书架</a></div><h1>第3章</h1><div id="c"><p>' + STORY + "<br>无尾之行<br>" + STORY + "</p></div><div><a>猜你喜欢</a></div>"
+    keep, drop = page_body.main_subtree(html)
+    assert STORY in keep and "无尾之行" in keep and drop == {"首页", "书架", "猜你喜欢"}
+    assert page_body.main_subtree("") == (set(), set()) and page_body.main_subtree("<div><div>" * 3000)[0] == set()
+    text = "\n".join(["首页", "第3章", STORY, "猜你喜欢"])
+    assert page_body.Reader(set()).story(text, "第3章", html) == [False, True, True, False]
+
+
 def test_best_run_is_the_largest():
     rnd = random.Random(2)
     for _ in range(200):
