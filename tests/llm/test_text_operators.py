@@ -76,8 +76,36 @@ def test_garbled_text_is_found_and_restored(text, true, wrong):
 def test_every_pair_with_a_hit_is_tried():
     bad = read_wrong(FRENCH, "utf-8", "cp1252")
     true = next(n for n, pair in enumerate(charset_repair.PAIRS) if pair == ("utf-8", "cp1252"))
-    others = [n for n in range(len(charset_repair.PAIRS)) if charset_repair._try(bad, charset_repair.Counter({n: 1})) is None][:6]
-    assert len(others) == 6 and charset_repair._try(bad, charset_repair.Counter({true: 1} | dict.fromkeys(others, 9))) == FRENCH
+    whole = [(0, len(bad))]  # as if every pair had a hit
+    others = [n for n in range(len(charset_repair.PAIRS)) if not charset_repair.stretches(bad, n, whole)]
+    assert len(others) >= 6 and true not in others
+    assert charset_repair.repair_line(bad) == (FRENCH, True)
+
+
+RUSSIAN = "Он вышел из дома и пошёл к реке."
+
+
+@pytest.mark.parametrize("pair", range(len(charset_repair.PAIRS)))
+def test_right_text_around_a_garbled_stretch_is_left_alone(pair):
+    true, wrong = charset_repair.PAIRS[pair]
+    western = true in ("cp1252", "mac-roman", "cp1251")
+    text = RUSSIAN if true == "cp1251" else FRENCH if western else TRADITIONAL if true == "big5" else STORY
+    right = "Elle ouvrit la porte et vit la neige." if western else "他推開門，看見院子裡的雪。" if true == "big5" else "他推开门，看见院子里的雪。"
+    bad, gap = read_wrong(text, true, wrong), " " if western else ""
+    for before, after in ((right + gap, ""), ("", gap + right), (right + gap, gap + right), ("Привет ", "")):
+        restored, found = charset_repair.repair_line(before + bad + after)
+        assert found and restored.startswith(before) and restored.endswith(after)
+        if (true, wrong) not in (("utf-8", "gb18030"), ("utf-8", "big5"), ("gb18030", "big5"), ("cp1252", "gb18030"), ("cp1252", "big5")):  # these lose bytes when they read wrongly
+            assert restored == before + text + after
+
+
+@given(st.lists(st.integers(-4, 4), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_maximal_stretches(gains):
+    got = charset_repair.maximal(gains)
+    assert all(b <= c for (_, b), (c, _) in zip(got, got[1:])) and all(sum(gains[a:b]) > 0 for a, b in got)
+    best = max((sum(gains[a:b]) for a in range(len(gains)) for b in range(a + 1, len(gains) + 1)), default=0)
+    assert max((sum(gains[a:b]) for a, b in got), default=0) == max(best, 0)
 
 
 @pytest.mark.parametrize("text", [None, "", " \n", STORY, TRADITIONAL, FRENCH, "São Lúmio das Águas", "门楣上是四个生僻字：魑魅魍魎", "Последний страж", "“这半截蜡烛值六两银子，”她说。", "【体质：43】", "* * *", "半夏３钱"])
