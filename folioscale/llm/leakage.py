@@ -9,12 +9,14 @@ order, and their share of the item is the evidence.
 
 The test side is broadcast in blocks of at most ``block_tokens`` tokens, whatever its size; every
 block is matched against all documents in a pass of its own. Nothing is shuffled, so neither a
-repeated document nor a repeated item gathers anywhere. Null and empty texts match nothing; an item
-too short for the shortest mask matches nothing. Repeated rows give repeated results.
+repeated document nor a repeated item gathers anywhere. An item too short for the shortest mask (five
+words, ten Han characters) is looked for whole, by windows of its own length. Null and empty texts, and
+texts without a letter or digit, match nothing. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -111,8 +113,13 @@ class Tests:
             flat = np.concatenate([self.tok[i] for i in own])
             item = np.repeat(np.array(own), [len(self.tok[i]) for i in own])
             first = np.repeat(np.cumsum([0, *[len(self.tok[i]) for i in own]])[:-1], [len(self.tok[i]) for i in own])
-            for mask in masks:
+            sizes = np.repeat([len(self.tok[i]) for i in own], [len(self.tok[i]) for i in own])
+            shortest = min(map(len, masks))
+            for mask in [*masks, *("1" * n for n in sorted({int(n) for n in sizes if n < shortest}))]:
                 at, h = windows(flat, item, mask)
+                if len(mask) < shortest:  # whole items only
+                    whole = sizes[at] == len(mask)
+                    at, h = at[whole], h[whole]
                 by = np.argsort(h, kind="stable")
                 sieve = np.zeros(1 << FILTER_BITS, bool)
                 sieve[h >> np.uint64(64 - FILTER_BITS)] = True
@@ -149,7 +156,7 @@ def stretches(same: np.ndarray, gap: int, least: int, density: float) -> list[tu
 def coverage(item: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]], han: bool) -> float:
     """Share of the item that stands in the document, in the item's order."""
     n = len(item)
-    gap, least = (4, 10) if han else (2, 6)
+    gap, least = (4, min(n, 10)) if han else (2, min(n, 6))
     parts = []
     for diagonal in {d - i for i, d in hits}:
         lo, hi = max(0, -diagonal), min(n, len(doc) - diagonal)
@@ -168,7 +175,11 @@ def coverage(item: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]], han
     return max(best, default=0) / n if n else 0.0
 
 
-def _run(tests, min_share: float):
+#: The test side of this worker process, by the name of its block.
+_sides: dict[str, Tests] = {}
+
+
+def _run(name: str, tests, min_share: float):
     def emit(side: Tests, keys: list, texts: list[str]) -> Iterator[tuple[int, int, float]]:
         tok, text, _ = tokens(texts)
         first = np.searchsorted(text, np.arange(len(texts) + 1))
@@ -182,9 +193,11 @@ def _run(tests, min_share: float):
                 yield side.ids[i], keys[t], share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = None
         for b in batches:
-            side = side or Tests(*tests.value)
+            if name not in _sides:
+                _sides.clear()
+                _sides[name] = Tests(*tests.value)
+            side = _sides[name]
             keys, texts, out, low, held = b.column(0).to_pylist(), b.column(1).to_pylist(), [], 0, 0
             for i, t in enumerate(texts):
                 held += len(t)
@@ -204,7 +217,7 @@ def leaked(docs: DataFrame, doc_id: str, text: str, tests: DataFrame, item_id: s
     out, ids, texts, held = None, [], [], 0
 
     def block(ids: list[int], texts: list[str]) -> DataFrame:
-        return side.mapInArrow(_run(spark.sparkContext.broadcast((ids, texts)), min_share), "item_id bigint, doc_id bigint, share double")
+        return side.mapInArrow(_run(uuid.uuid4().hex, spark.sparkContext.broadcast((ids, texts)), min_share), "item_id bigint, doc_id bigint, share double")
 
     for r in tests.select(F.col(f"`{item_id}`").cast("bigint").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).where("t is not null").toLocalIterator():
         ids.append(r["i"])

@@ -97,6 +97,36 @@ def test_leakage(spark):
     assert leakage.leaked(d, "doc_id", "text", e.limit(0), "item_id", "text").count() == 0
 
 
+def test_short_items_are_found_whole(spark):
+    d = spark.createDataFrame([(1, "a quiet, Lantern stone here"), (2, "quiet lantern"), (3, "他把灯笼放在桌上。"), (4, "灯笼"), (5, None)], "doc_id bigint, text string")
+    e = spark.createDataFrame([(1, "Quiet lantern stone"), (2, "灯笼放在"), (3, "!?"), (4, "one two three four")], "item_id bigint, text string")
+    assert {(r.item_id, r.doc_id) for r in leakage.leaked(d, "doc_id", "text", e, "item_id", "text").collect()} == {(1, 1), (2, 3)}
+
+
+def test_leakage_against_brute_force(spark):
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(12, 60)))) for i in range(30)]
+    docs = []
+    for n in range(200):
+        own, rate = items[n % 30][1].split(), rnd.choice([0.0, 0.05, 0.1, 0.15])
+        own = [rnd.choice(words) if rnd.random() < rate else w for w in own]
+        cut = rnd.randint(0, len(own))
+        filling = lambda: [rnd.choice(words) for _ in range(rnd.randint(0, 80))]
+        docs.append((n, " ".join([*filling(), *own[:cut], *filling(), *own[cut if rnd.random() < 0.7 else min(len(own), cut + 9) :], *filling()])))
+    side = leakage.Tests([i for i, _ in items], [t for _, t in items])
+    want = set()
+    for n, text in docs:
+        doc = leakage.tokens([text])[0]
+        for k, (i, _) in enumerate(items):
+            everywhere = [(a, b) for a in range(len(side.tok[k])) for b in (doc == side.tok[k][a]).nonzero()[0].tolist()]
+            if everywhere and leakage.coverage(side.tok[k], doc, everywhere, False) >= 0.5:
+                want.add((i, n))
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.item_id, r.doc_id) for r in leakage.leaked(d, "doc_id", "text", e, "item_id", "text").collect()}
+    assert got <= want and len(want) > 100 and len(got) >= 0.97 * len(want)
+
+
 @given(st.text("abcd", max_size=12), st.text("abcd", max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_edits(a, b):
