@@ -12,9 +12,11 @@ Null and empty texts give an empty list. Strings that look like special tokens a
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -61,17 +63,39 @@ class Encoder:
         self.used = 0
 
     def merge(self, fragment: bytes) -> list[int]:
-        """Plain byte-pair merging: the adjacent pair of lowest rank first, leftmost on ties."""
+        """Plain byte-pair merging: the adjacent pair of lowest rank first, leftmost on ties.
+
+        Pairs wait in a heap and parts are linked, so a fragment of n bytes takes n log n steps.
+        """
         ranks = self.ranks
         if fragment in ranks:
             return [ranks[fragment]]
-        parts = [fragment[i : i + 1] for i in range(len(fragment))]
-        while len(parts) > 1:
-            best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
-            if best == 1 << 40:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        n = len(fragment)
+        end = list(range(1, n + 1))  # where the part that starts here ends; 0 for a part merged into another
+        before = list(range(-1, n - 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(fragment[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, stop = heappop(heap)
+            j = end[i]
+            if not j or j >= n or end[j] != stop:
+                continue  # one of the two has been merged since
+            end[i], end[j] = stop, 0
+            if stop < n:
+                before[stop] = i
+                r = ranks.get(fragment[i : end[stop]])
+                if r is not None:
+                    heappush(heap, (r, i, end[stop]))
+            k = before[i]
+            if k >= 0:
+                r = ranks.get(fragment[k:stop])
+                if r is not None:
+                    heappush(heap, (r, k, stop))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[fragment[i : end[i]]])
+            i = end[i]
+        return out
 
     def _number(self, key: object, fragment: bytes) -> int:
         n = self.known.get(key)
@@ -161,11 +185,21 @@ class Encoder:
         return ids, offsets
 
 
-def _run(vocabulary):
+#: The encoder of this worker process, by its vocabulary's digest.
+_coders: dict[str, Encoder] = {}
+
+
+def _coder(digest: str, vocabulary) -> Encoder:
+    if digest not in _coders:
+        _coders.clear()
+        _coders[digest] = Encoder(read_ranks(vocabulary.value))
+    return _coders[digest]
+
+
+def _run(digest: str, vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
         for b in batches:
-            coder = coder or Encoder(read_ranks(vocabulary.value))
+            coder = _coder(digest, vocabulary)
             keys, texts = b.column(0), b.column(1).cast(pa.binary()).to_pylist()
             texts = [t or b"" for t in texts]
             low = held = 0
@@ -184,7 +218,8 @@ def encode_texts(df: DataFrame, key: str, text: str, vocabulary: str | None = No
     spark = df.sparkSession
     ship(spark)
     with open(vocabulary or default_vocabulary(), "rb") as f:
-        held = spark.sparkContext.broadcast(f.read())
+        data = f.read()
+    held = spark.sparkContext.broadcast(data)
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(_run(held), f"key {kind}, ids array<int>")
+    out = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(_run(hashlib.sha256(data).hexdigest(), held), f"key {kind}, ids array<int>")
     return out.withColumnRenamed("key", key)

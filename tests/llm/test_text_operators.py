@@ -47,6 +47,17 @@ def test_encoding_rows(spark, coder, reference):
     assert encode.encode_texts(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_long_fragments_merge_in_time(coder, reference):
+    rnd = random.Random(5)
+    for text in ("a" * 3000, "".join(rnd.choice("ACGTacgt") for _ in range(4000)), "é" * 1000):
+        ids, _ = coder.encode([text.encode()])
+        assert ids.tolist() == reference.encode_ordinary(text)
+    blob = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(1_000_000))  # no cut within
+    ids, _ = coder.encode([blob.encode()])
+    token = {r: t for t, r in coder.ranks.items()}
+    assert b"".join(token[i] for i in ids.tolist()) == blob.encode()
+
+
 STORY = "他们决定查清封条的来历，谁也没有再提北灯城的事。比起荒原，铃铛更安静，说书人笑着退到一边。"
 TRADITIONAL = "潮水退盡時，裴青禾把銀簪放在桌上，心裡鬆了一口氣。帳房先生看了她一眼。"
 FRENCH = "À la marée basse, Éloïse traversa l’hôtel et trouva le greffier ; « déjà ? » répéta-t-elle."
@@ -135,6 +146,11 @@ def test_plain_text_is_left_alone(text):
     assert not confusables.deviates(text) and confusables.form(text) == text
 
 
+@pytest.mark.parametrize("a, b", [("раура", "paypa"), ("ᏞᏟ", "LC"), ("ꓟꓳ", "MO"), ("Ⲥⲟ", "Co"), ("Ⅳ", "IV"), ("corn", "com"), ("0ne", "One"), ("１l", "Il"), ("०", "O"), ("ᴠᴏᴡ", "vow"), ("а́", "á")])
+def test_skeletons_ignore_the_script(a, b):
+    assert confusables.skeleton(a) == confusables.skeleton(b)
+
+
 def test_confusable_rows(spark):
     df = spark.createDataFrame([(1, "ａ", None), (2, "a", "b​"), (3, None, ""), (3, "a", "b")], "id bigint, title string, f0 string")
     assert sorted((r.row, r.field) for r in confusables.deviations(df, "id", ["title", "f0"]).collect()) == [(1, "title"), (2, "f0")]
