@@ -171,6 +171,25 @@ def test_residue(title, content, certain):
     assert template_residue.judge(title, "https://h.example/1.html", content)[0] is certain
 
 
+def test_residue_compares_the_address():
+    for url, certain in (("https://h.example/b/3.html", False), ("https://h.example/b/9.html", True), (None, False)):
+        assert template_residue.judge("第3章 渡口", url, "沉默。")[0] is certain  # a poor body under another chapter's address
+    notice = "The page could not be found"
+    assert template_residue.judge("Lantern", "https://h.example/lantern", notice)[0] is True
+    assert template_residue.judge("Could Not Be Found", "https://h.example/b/could-not-be-found", notice)[0] is False  # its own title
+    assert template_residue.judge("404 Not Found", "https://h.example/b/14.html", STORY)[0] is True
+    assert template_residue.judge("第3章 渡口", None, "\n".join(["Dolum vero sintus amet."] * 3))[0] is True
+
+
+def test_long_notices_and_reposts(spark):
+    notice = "\n".join(f"本站规则第{k}条：搬家期间暂停更新，请见谅。" for k in "一二三四五六七八九十")  # longer than any error page
+    rows = [(i, f"h{i % 3}", f"第{i}章", f"https://h/{i}", notice) for i in range(6)]
+    rows += [(10 + i, f"h{i}", "第5章 渡口", "https://h/5", STORY) for i in range(4)]  # one chapter posted by four hosts
+    rows += [(20 + i, "own", f"第{i}章", f"https://o/{i}", f"{STORY}{i}\n页面加载失败请刷新") for i in range(6)]  # a host's own line
+    df = spark.createDataFrame(rows, "id bigint, host string, t string, u string, c string")
+    assert sorted(r.row for r in template_residue.residue(df, "id", "host", "t", "u", "c").collect()) == [0, 1, 2, 3, 4, 5]
+
+
 def test_residue_by_other_hosts(spark):
     odd = "本页正在搬家，三日后再来。"
     rows = [(i, f"h{i % 3}", f"第{i}章", f"https://h/{i}", odd, "x") for i in range(6)] + [(10, "h9", "第9章", "https://h/9", STORY + "\n" + odd, "x"), (11, "h9", "第8章", "https://h/8", STORY, "x"), (12, None, None, None, None, "x")]
