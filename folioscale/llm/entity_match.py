@@ -10,7 +10,9 @@ its title and author are the spellings most hits agree on, its intro the longest
 words in order, intro, address. The plans are ranked by
 each key and cut into blocks of ``block`` plans that overlap by the window; an entity goes to the
 block where its key falls (to each block that holds plans of its very key) and is compared with the ``window`` plans before and after it: 6, and 6 more
-for each doubling of the plans beyond 1,000, since neighbours crowd as plans grow. Windows count plans, so any number of hits may crowd at one place; crowded blocks are salted. No pairs within
+for each doubling of the plans beyond 1,000, since neighbours crowd as plans grow. Keys end in all fields, so
+plans of an equal key are copies of one record; of very many each entity takes ``COPIES`` of its own.
+Windows count plans, so any number of hits may crowd at one place; crowded blocks are salted. No pairs within
 a group of entities are made, and only one key in ``block`` reaches the driver.
 
 *Assignment.* A page shows one book, and of one source a plan takes one page: edges that nothing
@@ -30,6 +32,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,15 +54,21 @@ NOBODY = {"", "unknown", "anonymous", "n/a", "none", "null", "佚名", "匿名",
 #: What makes a title another book though the rest is equal. Fixed values.
 OTHER_BOOK = re.compile(r"续[篇集写]?$|第[一二三四五六七八九十\d]+[部卷季]|同人|番外|外传|前传|后传|新编|改编|漫画版|有声|(?:\b|(?<=[一-鿿]))(?:ii|iii|iv|v|[2-9])$|\bbook (?:two|three|\d+)|\bvol(?:ume|umen)?\.? ?\d+|\bpart (?:two|\d+)|\bparte? (?:ii|\d+)|\btome \d+|\bsequel\b|\bfan ?fic(?:tion)?\b|\bfanfic\b|\bside stor(?:y|ies)\b|\bprequel\b|\bsuite\b|\bsecuela\b|\bthe return\b|\ble retour\b|\bel regreso\b|\b(?:second|deuxième|segunda) (?:book|partie|parte)\b|\b(?:libro|livre) (?:dos|deux|\d+)", re.I)
 NOT_WORD = re.compile(r"[\W_]+")
-PAGE = re.compile(r"^(?:https?:)?//(?:www\.|m\.|wap\.)?|[?#].*$", re.I)
+PAGE = re.compile(r"^(?:https?:)?//(?:www\.|m\.|wap\.)?|#.*$", re.I)
+#: Parameters of an address that say where the reader came from, not which page it is. Fixed values.
+VISIT = re.compile(r"(?:utm_\w+|from|ref|referer|referrer|source|src|spm|share|sid|session\w*|fbclid|gclid|channel|click\w*|track\w*)(?:=.*)?", re.I)
 EXACT = 14
+#: Of more copies of one plan than this (equal in title, author and intro) each entity is compared with this many, each with its own.
+COPIES = 64
 
 
 def address(url: str | None) -> str | None:
     """One spelling of a page's address."""
     if not url or not url.strip():
         return None
-    return PAGE.sub("", url.strip()).rstrip("/").lower() or None
+    path, _, query = PAGE.sub("", url.strip()).partition("?")
+    kept = sorted(p for p in query.split("&") if p and not VISIT.fullmatch(p))
+    return (path.rstrip("/") + ("?" + "&".join(kept) if kept else "")).lower() or None
 
 
 @lru_cache(200_000)
@@ -222,18 +231,19 @@ def confidence(plan: tuple, hit: tuple) -> float:
 
 
 def keys_of(title: str, author: str, intro: str, page: str | None) -> list[tuple[int, str]]:
-    """The composite sort keys that a record has."""
+    """The composite sort keys that a record has; each ends in all that the record says, so that equal keys are equal records."""
     out = []
+    rest = f"{title}|{author}|{intro}"
     if title:
         middle = len(title) // 2
         ordered = " ".join(sorted(title.split())) if " " in title else "".join(sorted(title))
-        out += [(0, f"{title}|{author}"), (2, f"{title[::-1]}|{author}"), (5, f"{title[middle:]}{title[:middle]}|{author}"), (6, f"{ordered}|{author}")]
+        out += [(0, rest), (2, f"{title[::-1]}|{author}|{intro}"), (5, f"{title[middle:]}{title[:middle]}|{author}|{intro}"), (6, f"{ordered}|{rest}")]
     if author:
-        out.append((1, f"{author}|{title}"))
+        out.append((1, f"{author}|{title}|{intro}"))
     if len(intro) >= 8:
-        out.append((3, intro[:48]))
+        out.append((3, f"{intro}|{title}|{author}"))
     if page:
-        out.append((4, page))
+        out.append((4, f"{page}|{rest}"))
     return out
 
 
@@ -301,11 +311,12 @@ def _compare(window: int, least: float):
             ps = sorted(zip(*(plans.column(c).to_pylist() for c in ("key", "row", "title", "author", "intro", "page"))))
             keys = [p[0] for p in ps]
             for key, page, source, title, author, intro in sorted(zip(*(entities.column(c).to_pylist() for c in ("key", "page", "source", "title", "author", "intro")))):
-                at = bisect_left(keys, key)
-                end = at
-                while end < len(keys) and keys[end] == key:  # equal keys count as one place
-                    end += 1
-                for p in ps[max(0, at - window) : end + window]:
+                at, end = bisect_left(keys, key), bisect_right(keys, key)
+                same = ps[at:end]
+                if len(same) > COPIES:  # copies of one record: each entity takes some of them, in turn
+                    first = crc32(page.encode())
+                    same = [same[(first + k) % len(same)] for k in range(COPIES)]
+                for p in [*ps[max(0, at - window) : at], *same, *ps[end : end + window]]:
                     c = confidence(p[2:], (title, author, intro, page))
                     if c >= least:
                         out.append((p[1], page, source, c))

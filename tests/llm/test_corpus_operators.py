@@ -237,6 +237,18 @@ def test_equal_keys_in_several_blocks(spark):
     assert sorted(r.plan for r in got if r.page == "p") == list(range(40)) and len([r for r in got if r.page == "q"]) >= 1
 
 
+def test_copies_without_end_stay_linear(spark):
+    plans, pages = plans_and_pages(spark, [(i, "灯笼与断剑", "沈青禾", "") for i in range(3000)], [(f"p{k}", "灯笼与断剑", "沈青禾", "") for k in range(500)])
+    pairs = entity_match.neighbours(plans, pages, window=6, block=256)
+    assert pairs.count() <= 500 * (entity_match.COPIES + 12) * 14  # cells that share the copies take their part each
+    assert entity_match.assigned(pairs.limit(2000)).count() > 10
+
+
+@pytest.mark.parametrize("a, b, same", [("https://www.h.example/book?id=7&from=search#info", "http://m.h.example/book/?id=7", True), ("https://h.example/book?id=7", "https://h.example/book?id=8", False), ("https://h.example/b/?ref=x", "https://h.example/b", True), ("https://h.example/b?a=1&b=2", "https://h.example/b?b=2&a=1", True)])
+def test_addresses(a, b, same):
+    assert (entity_match.address(a) == entity_match.address(b)) is same
+
+
 def test_queries(spark, data):
     from folioscale.llm.queries import QUERIES
 
