@@ -48,9 +48,24 @@ class Node:
         return [c for c in self.children if isinstance(c, Node)]
 
     def html(self) -> str:
-        inner = "".join(c.html() if isinstance(c, Node) else c if self.tag in ("script", "style") else escape(c, quote=False) for c in self.children)
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
-        return inner if self.tag == "#root" else f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else f"{inner}</{self.tag}>")
+        """The markup of the element; a stack instead of recursion, since pages may nest without end."""
+        out: list[str] = []
+        stack: list[tuple[Node | str, bool]] = [(self, True)]  # (node or text ready to write, still to be opened)
+        while stack:
+            n, opening = stack.pop()
+            if isinstance(n, str):
+                out.append(n)
+            elif n.tag == "#root" and opening:
+                stack += [(c if isinstance(c, Node) else escape(c, quote=False), True) for c in reversed(n.children)]
+            elif opening:
+                out.append(f"<{n.tag}{''.join(f' {k}={chr(34)}{escape(v)}{chr(34)}' for k, v in n.attrs.items())}>")
+                if n.tag not in VOID:
+                    raw = n.tag in ("script", "style")
+                    stack.append((n, False))
+                    stack += [(c if isinstance(c, Node) or raw else escape(c, quote=False), True) for c in reversed(n.children)]
+            else:
+                out.append(f"</{n.tag}>")
+        return "".join(out)
 
 
 def squash(text: str) -> str:
@@ -334,5 +349,30 @@ def by_text(node: Node, word: str) -> list[Node]:
     word = word.strip()
     if not word:
         return []
-    found = [n for n in node.walk() if word in n.text()]
+    found = [n for n, text in _texts(node) if word in squash(text)]
     return [n for n in found if "href" in n.attrs] or found
+
+
+def _texts(node: Node) -> Iterator[tuple[Node, str]]:
+    """Each element below with its text: one pass writes all strings, elements know their ranges."""
+    parts: list[str] = []
+    spans: dict[int, list[int]] = {}
+    order: list[Node] = []
+    stack: list[tuple[Node | str, bool]] = [(c, True) for c in reversed(node.children)]
+    at = 0
+    while stack:
+        n, opening = stack.pop()
+        if isinstance(n, str):
+            parts.append(n)
+            at += len(n)
+        elif opening:
+            order.append(n)
+            spans[id(n)] = [at, at]
+            stack.append((n, False))
+            stack += [(c, True) for c in reversed(n.children)]
+        else:
+            spans[id(n)][1] = at
+    whole = "".join(parts)
+    for n in order:
+        low, high = spans[id(n)]
+        yield n, whole[low:high]

@@ -31,7 +31,7 @@ def test_html_rules(rule, value):
         assert scalar(rule) == value
 
 
-@pytest.mark.parametrize("modifier, kept", [(".0", ["One"]), (".-1", ["Three"]), (".0:1", ["One", "Two"]), ("[1:-1]", ["Two", "Three"]), ("[2,0,9]", ["Three", "One"]), ("!0,-1", ["Two"]), (".7", [])])
+@pytest.mark.parametrize("modifier, kept", [("!0.0", ["Two"]), (".0!0", ["Two"]), ("[0:1]!0", ["Two"]), ("[0:9].-1", ["Three"]), ("[-9:0]", ["One"]), (".0", ["One"]), (".-1", ["Three"]), (".0:1", ["One", "Two"]), ("[1:-1]", ["Two", "Three"]), ("[2,0,9]", ["Three", "One"]), ("!0,-1", ["Two"]), (".7", [])])
 def test_positions(modifier, kept):
     assert language.payload(HTML).many(f"li{modifier}@a@text") == kept
 
@@ -66,6 +66,14 @@ def test_unknown_transform_and_odd_input():
     assert jsonpath.find({"a": [1, 2]}, "a[5]") == []
 
 
+def test_deep_pages_and_texts():
+    deep = dom.parse("<div>" * 5000 + "<a href='/x'>Next page</a>" + "</div>" * 5000)
+    assert deep.html().count("</div>") == 5000
+    assert [n.tag for n in dom.by_text(dom.parse("<p>a <b>Next <i>page</i></b></p><a href='/n'>Next page</a>"), "Next page")] == ["a"]
+    assert [n.tag for n in dom.by_text(dom.parse("<p>a <b>Next <i>page</i></b></p>"), "Next page")] == ["p", "b"]
+    assert dom.parse("<p k='a\"b'>x &lt; y<br><script>a<b</script></p>").html() == "<p k=\"a&quot;b\">x &lt; y<br><script>a<b</script></p>"
+
+
 def test_native_and_function_agree(spark):
     df = spark.createDataFrame([(1, JSON), (2, '{"title": ""}'), (3, None), (4, "not json")], "id int, body string")
     simple = {"a": "$.title", "b": "none||data.items[0].name", "c": "<{{title}}>", "d": "title##\\d##"}
