@@ -59,10 +59,16 @@ class Engine:
         rows = self._table("book_source").where(F.lit(include_disabled) | F.col("enabled"))
         return present.page(rows, [F.when(F.col("enabled"), 0).otherwise(1), F.coalesce("name", F.lit("")), F.col("source_id")], offset, limit or self.config.limit)
 
-    def candidates(self, keyword: str, author: str = "", limit: int | None = None) -> DataFrame:
-        """The ranked candidates of a keyword; those that cannot be taken come last, with the reason."""
-        hits = self._table("search_hit").where(F.contains(X.compare_key(F.col("title")), F.lit(keyword.strip().lower()))).withColumn("match_keyword", F.lit(keyword))
-        got = ranking.candidates(hits, self._table("book_source"), self._table("search_source_stats"), author=F.lit(author))
+    def candidates(self, keyword: str, author: str = "", limit: int | None = None, health: DataFrame | None = None) -> DataFrame:
+        """The ranked candidates of a keyword; those that cannot be taken come last, with the reason.
+
+        health: the stages' states of each source (``operators.health.by_stage``); without it the search counters speak.
+        """
+        hits = self._table("search_hit").where(F.contains(X.compare_key(F.col("title")), X.compare_key(F.lit(keyword)))).withColumn("match_keyword", F.lit(keyword))
+        sources, stats = self._table("book_source"), self._table("search_source_stats")
+        sources = sources.withColumn("extractor", F.lit(None).cast("string")) if "extractor" not in sources.columns else sources
+        searched = stats.select("source_id", ranking.runtime_state({k: F.col(k) for k in ("successes", "failures")}).alias("search"), *(F.lit(None).cast("string").alias(s) for s in ("preflight", "download")))
+        got = ranking.candidates(hits, sources, searched if health is None else health, author=F.lit(author))
         return got.where(F.col("position") <= present.clamp(limit or self.config.limit))
 
     def status(self) -> DataFrame:
@@ -77,6 +83,25 @@ class Engine:
         jobs = self._table("job")
         sinks.write_text(journal.assembled(jobs if job is None else jobs.where(F.col("job_id") == job)), path)
 
+    def jobs(self, offset: int = 0, limit: int | None = None) -> DataFrame:
+        """A page of the jobs with their status, in the order of their names."""
+        return present.page(self.status(), [F.col("job_id")], offset, limit or self.config.limit)
+
+    def resume(self, store: DataFrame, job: str | None = None, path: str | None = None) -> DataFrame:
+        """STM-04: what going on with the jobs (or one) appends to their journals; written to ``path`` as JSON lines if given."""
+        jobs = self._table("job")
+        got = journal.resumed(jobs if job is None else jobs.where(F.col("job_id") == job), store)
+        if path:
+            sinks.append_journal(got, path)
+        return got
+
+    def health_counts(self, events: DataFrame) -> DataFrame:
+        return health.state_counts(self.source_health(events))
+
+    def import_summary(self, text: str) -> DataFrame:
+        """SRC-10: how many definitions a file holds, and how many can be searched and downloaded."""
+        return capability.import_counts(self.import_sources(text))
+
     def source_health(self, events: DataFrame) -> DataFrame:
         return health.with_defaults(self._table("book_source").select("source_id"), health.health(events))
 

@@ -86,6 +86,12 @@ def unescape_usual(c: Column) -> Column:
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
 
 
+def unescape_all(c: Column) -> Column:
+    """All entities: the usual ones in the JVM; only texts that still hold one beside "&" pass the function."""
+    usual = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES[:-1], c)
+    return F.when(c.rlike("&(?:#[0-9xX]|[A-Za-z])") & replace_all(usual, "&amp;", "").rlike("&(?:#[0-9xX]|[A-Za-z])"), unescape(c)).otherwise(F.replace(usual, F.lit("&amp;"), F.lit("&")))
+
+
 def clean(c: Column, cleaners: Sequence[tuple[str, str]]) -> Column:
     """STR-06 with Python patterns known beforehand: in order, invalid ones passed over, ends stripped."""
     kept = [(java_pattern(p), java_replacement(r)) for p, r in cleaners if valid(p)]
@@ -101,13 +107,13 @@ def lf(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
-def html_to_text(c: Column, native: bool = True) -> Column:
+def html_to_text(c: Column, native: bool = False) -> Column:
     """STR-02: a fragment's text; block ends become line ends."""
     c = replace_all(c, r"(?is)<(script|style)\b.*?</\1>", "")
     c = replace_all(c, r"(?i)<br\s*/?>", "\n")
     c = replace_all(c, r"(?i)</(p|div|section|article|li|tr|h[1-6])\s*>|<li\b[^>]*>", "\n")
     c = replace_all(c, r"<[^>]+>", "")
-    c = lf(unescape_usual(c) if native else unescape(c))
+    c = lf(unescape_usual(c) if native else unescape_all(c))
     for pattern, by in ((r"[ \t]*\n[ \t]*", "\n"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n")):
         c = replace_all(c, pattern, by)
     return trim(c)
@@ -120,7 +126,7 @@ def html_to_text_job(c: Column, strip: bool = True, entities: bool = True, space
         c = replace_all(c, r"(?i)<br\s*/?>|</(p|div|li|h[1-6])\s*>", "\n")
         c = replace_all(c, r"<[^>]+>", "")
     if entities:
-        c = unescape_usual(c)
+        c = unescape_all(c)
     if spaces:
         c = F.replace(F.replace(lf(c), F.lit("\xa0"), F.lit(" ")), F.lit("　"), F.lit("  "))
         for pattern, by in ((r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")):
@@ -133,13 +139,13 @@ def html_to_text_template(c: Column) -> Column:
     """STR-04: br, p and div only."""
     c = replace_all(c, r"(?is)<(script|style)\b.*?</\1>", "")
     c = replace_all(c, r"(?i)<br\s*/?>|</(p|div)\s*>", "\n")
-    c = lf(unescape_usual(replace_all(c, r"<[^>]+>", "")))
+    c = lf(unescape_all(replace_all(c, r"<[^>]+>", "")))
     return trim(replace_all(replace_all(c, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"))
 
 
 def page_title(html: Column) -> Column:
     """STR-05: the first title element in one line; empty where there is none."""
-    return F.coalesce(squash(unescape_usual(replace_all(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"<[^>]+>", ""))), F.lit(""))
+    return F.coalesce(squash(unescape_all(replace_all(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"<[^>]+>", ""))), F.lit(""))
 
 
 #: Page markers, hints to read on and navigation lines (STR-07). Fixed values.
@@ -218,8 +224,8 @@ def content_pipeline(df: DataFrame, content: str, title: str, out: str = "text",
 
 
 def compare_key(c: Column) -> Column:
-    """STR-12: for comparing without case and outer space; null counts as blank."""
-    return F.lower(trim(F.coalesce(c, F.lit(""))))
+    """STR-12: for comparing without case (ß as ss, final sigma as any) and outer space; null counts as blank."""
+    return F.translate(F.replace(F.lower(F.upper(trim(F.coalesce(c, F.lit(""))))), F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
 def title_match(title: Column, keyword: Column) -> Column:

@@ -94,6 +94,11 @@ def epoch_text(c: Column) -> Column:
     return F.when(n.isNull(), c).otherwise(F.date_format(F.timestamp_seconds(F.when(F.abs(n) >= 1e11, n / 1000).otherwise(n)), "yyyy-MM-dd HH:mm"))
 
 
+def run_id(at: Column) -> Column:
+    """DAT-02: a time as the name of a run, in the session's zone."""
+    return F.date_format(at, "yyyyMMddHHmmss")
+
+
 def merged(base: Column, patch: Column) -> Column:
     """JSN-02 and MAP-01, one level: the patch's entries win."""
     base, patch = F.coalesce(base, F.create_map().cast("map<string,string>")), F.coalesce(patch, F.create_map().cast("map<string,string>"))

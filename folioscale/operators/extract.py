@@ -78,6 +78,20 @@ def book_plans(pages: DataFrame, payload: str, url: str, rules: dict[str, str],
     return pages.withColumn("_x", run.asNondeterministic()(F.col(payload), F.col(url))).select("*", "_x.*").drop("_x", payload)
 
 
+def whole_plans(plans: DataFrame, toc_pages: DataFrame, rules: dict[str, str], root: str = "", book: str = "url", max_pages: int = 200) -> DataFrame:
+    """EXT-31 with its chapter list: plans as ``book_plans`` gives them, each with its chapters in order, their number, and an error where it has none.
+
+    toc_pages: (url, html) of the list pages. Rows that only lead about (FLT-07) are left out.
+    """
+    listed = toc.chapter_lists(plans.select(F.col(book).alias("start"), F.col("toc_url").alias("url")), toc_pages, rules, root, max_pages)
+    named = plans.select(F.col(book).alias("start"), F.col("toc_url").alias("_toc"), F.col("book_name").alias("_name"))
+    rows = listed.withColumnRenamed("index", "pos").join(named, "start")
+    kept = toc.reindexed(toc.without_noise(rows, "start", F.col("start"), F.col("_toc"), F.col("_name")), "start", ["pos"])
+    lists = kept.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("index", "title", "url", "rule_vars"))).alias("toc"))
+    out = plans.join(lists.withColumnRenamed("start", book), book, "left")
+    return out.withColumn("toc_count", F.coalesce(F.size("toc"), F.lit(0))).withColumn("error", F.when(F.col("toc_count") == 0, "no chapter list"))
+
+
 def chapter_texts(starts: DataFrame, pages: DataFrame, rules: dict[str, str], max_pages: int = 5, repository: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """EXT-33: (start, title, content): the pages of each chapter by their "next" links, joined and cleaned.
 

@@ -1,5 +1,5 @@
 """Event-sourced jobs: replay, status, missing work, assembly, streaks
-(AGG-09 to AGG-11, JN-03, JN-09, SNK-04, SNK-05, WIN-04 to WIN-06, WIN-08, SET-06).
+(AGG-09 to AGG-11, JN-03, JN-09, SNK-04, SNK-05, SNK-09, STM-04, STM-05, WIN-04 to WIN-06, WIN-08, SET-06).
 
 A journal is a table of manifest, state, chapter and error records; ``order`` says which came later.
 Status never reads the chapters' text.
@@ -102,3 +102,39 @@ def stop_points(outcomes: DataFrame, group: str, order: list[str], error: str, s
     hit = streaks(outcomes, group, order, error).where((F.col("same_error_in_row") >= least) | (F.col("failures_in_row") >= max(least, any_)))
     w = Window.partitionBy(group).orderBy(*order)
     return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def resumed(journal: DataFrame, store: DataFrame, job: str = "job_id", order: str = "rec_id", least_chars: int = 1) -> DataFrame:
+    """STM-04: the records that going on with every job appends to its journal, in their order (job, step, ...).
+
+    store: (url, title, content), one row for each address that can be fetched. A job with missing chapters is
+    "downloading"; each missing chapter gives a chapter or an error record; then the job is "downloaded", or
+    "failed" with the number of errors. Jobs that lack nothing are "assembled". What is appended makes
+    these records part of the journal, so going on once more starts where this ended.
+    """
+    lacking = missing(journal, job, order)
+    got = lacking.join(store.select("url", F.col("title").alias("_title"), F.col("content").alias("_content"), F.lit(True).alias("_there")), "url", "left")
+    full = F.coalesce(F.length(X.trim(F.col("_content"))), F.lit(0)) >= least_chars
+    none = lambda kind: F.lit(None).cast(kind)
+    units = got.select(
+        job, F.lit(1).alias("step"), F.when(full, "chapter").otherwise("error").alias("kind"), "index", F.coalesce(X.blank_to_null(F.col("_title")), "title").alias("title"), "url", F.when(full, F.col("_content")).alias("content"),
+        F.when(~full, F.when(F.col("_there").isNull(), "page not found").otherwise("chapter content empty")).alias("error"), none("string").alias("state"), none("int").alias("missing_count"), none("int").alias("error_count"),
+    )
+    counts = units.groupBy(job).agg(F.count("*").cast("int").alias("missing_count"), F.count("error").cast("int").alias("error_count"))
+    heads = manifests(journal, job, order, ("chapters",)).where(F.size("chapters") > 0).select(job).join(counts, job, "left")
+    bad = F.coalesce("error_count", F.lit(0)) > 0
+    begun = heads.where("missing_count is not null").select(job, F.lit(0).alias("step"), F.lit("downloading").alias("state"), "missing_count", none("int").alias("error_count"))
+    ended = heads.select(job, F.lit(2).alias("step"), F.when(F.col("missing_count").isNull(), "assembled").when(bad, "failed").otherwise("downloaded").alias("state"), none("int").alias("missing_count"), F.when(bad, F.col("error_count")).alias("error_count"))
+    states = begun.unionByName(ended).withColumn("kind", F.lit("state"))
+    return units.unionByName(states, allowMissingColumns=True)
+
+
+def without_finished(journal: DataFrame, job: str = "job_id", order: str = "rec_id", state: str = "assembled") -> DataFrame:
+    """SNK-09: the journal without the jobs whose last state is that their text has been written."""
+    last = journal.where(F.col("kind") == "state").groupBy(job).agg(F.max_by("state", order).alias("_state")).where(F.col("_state") == state)
+    return journal.join(last.select(job), job, "left_anti")
+
+
+def waves(units: DataFrame, group: str, order: list[str], window: int) -> DataFrame:
+    """STM-05: in which wave each unit is sent out when at most ``window`` of a group run at once."""
+    return units.withColumn("wave", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1) / F.lit(window)).cast("int"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls
-from ..session import written
+from ..rules import language
+from ..session import ship, written
 
 #: Labels of order toggles among chapter links. Fixed values.
 TOGGLES = ["[正序]", "[倒序]", "正序", "倒序"]
@@ -40,24 +42,47 @@ def walked(starts: DataFrame, edges: DataFrame, max_pages: int) -> DataFrame:
     """EXT-32, EXT-33: (start, url, page): the pages reached by following "next" links, each once.
 
     starts: (start, url); edges: (url, next), at most one next for each url. A page that was seen
-    before ends its walk. Each round is a join of the walks' heads with the links; the lineage is cut.
+    before ends its walk. Links are doubled: after k joins a walk is 2^k pages long, so 200 pages take
+    eight. Since a page has one next, all pages behind one seen before have been seen as well, and the first
+    place of each is kept.
     """
-    seen = starts.select("start", "url", F.lit(0).alias("page"))
-    heads, parts = seen, [seen]
-    links = edges.select(F.col("url").alias("_from"), F.col("next").alias("_to")).where("_to is not null and _to <> ''")
-    for page in range(1, max_pages):
-        step = heads.join(links, F.col("url") == F.col("_from")).select("start", F.col("_to").alias("url"), F.lit(page).alias("page"))
-        visited = parts[0]
-        for p in parts[1:]:
-            visited = visited.unionByName(p)
-        heads = written(step.join(visited.select("start", "url"), ["start", "url"], "left_anti"), "walk")
-        if heads.isEmpty():
+    first = lambda df: df.groupBy("start", "url").agg(F.min("page").alias("page"))
+    rows = written(first(starts.select("start", "url", F.lit(0).alias("page"))), "walk")
+    links = edges.where("next is not null and next <> '' and url <> next").select(F.col("url").alias("_from"), F.col("next").alias("_to"))
+    span, count = 1, -1
+    while span < max_pages:
+        more = rows.join(links, F.col("url") == F.col("_from")).select("start", F.col("_to").alias("url"), (F.col("page") + span).alias("page")).where(F.col("page") < max_pages)
+        rows = written(first(rows.unionByName(more)), "walk")
+        count, before = rows.count(), count
+        if count == before:
             break
-        parts.append(heads)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        span *= 2
+        if span < max_pages:
+            onward = links.select(F.col("_from").alias("_to"), F.col("_to").alias("_on"))
+            links = written(links.join(onward, "_to").select("_from", F.col("_on").alias("_to")), "links")
+    return rows
+
+
+def chapter_lists(starts: DataFrame, pages: DataFrame, rules: dict[str, str], root: str = "", max_pages: int = 200) -> DataFrame:
+    """EXT-32: (start, index, title, url, rule_vars): the chapters of each book's list, over all its pages.
+
+    starts: (start, url); pages: (url, html), one row for each address. Every page is parsed once; rows without
+    title or address go; of equal addresses the first stays; numbers run from 0. The page that repeats ends
+    its list.
+    """
+    ship(starts.sparkSession)
+    kind = "chapters array<struct<title: string, url: string, rule_vars: map<string, string>>>, next string"
+
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series, at: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([language.toc(t, rules, u or "", root) for t, u in zip(texts, at)], columns=["chapters", "next"])
+
+    key = urls.normalised(F.col("url")).alias("url")
+    read = pages.select(key, run.asNondeterministic()(F.col("html"), F.col("url")).alias("_x")).select("url", "_x.chapters", F.when(F.col("_x.next") != "", urls.normalised(F.col("_x.next"))).alias("next"))
+    read = written(read, "toc-pages")
+    walk = walked(starts.select("start", key), read.select("url", "next"), max_pages)
+    rows = walk.join(read.select("url", "chapters"), "url").select("start", "page", F.posexplode("chapters").alias("pos", "c")).select("start", "page", "pos", "c.*")
+    return reindexed(rows, "start", ["page", "pos"], "url").select("start", "index", "title", "url", "rule_vars")
 
 
 def joined_pages(pages: DataFrame, group: str, order: str, title: str, content: str) -> DataFrame:
@@ -85,8 +110,8 @@ def samples(df: DataFrame, group: str, order: Sequence[str], size: int = 3) -> D
     return ranked.withColumn("_choice", choice).where(F.col("_choice") <= size).drop("_pos", "_n", "_choice")
 
 
-def restored(rows: DataFrame, saved: DataFrame, url: str, index: str, value: str) -> DataFrame:
-    """JN-04: ``value`` of the saved row of equal url, or else of equal index (0 is an index like any other)."""
-    by_url = saved.where(F.col(url).isNotNull()).groupBy(url).agg(F.min_by(value, index).alias("_by_url"))
-    by_index = saved.where(F.col(index).isNotNull()).groupBy(index).agg(F.min_by(value, url).alias("_by_index"))
-    return rows.join(by_url, url, "left").join(by_index, index, "left").withColumn(value, F.coalesce("_by_url", "_by_index")).drop("_by_url", "_by_index")
+def restored(rows: DataFrame, saved: DataFrame, book: str, url: str, index: str, value: str) -> DataFrame:
+    """JN-04: ``value`` of the saved row of the same book and equal url, or else of equal index (0 is an index like any other)."""
+    by_url = saved.where(F.col(url).isNotNull()).groupBy(book, url).agg(F.min_by(value, index).alias("_by_url"))
+    by_index = saved.where(F.col(index).isNotNull()).groupBy(book, index).agg(F.min_by(value, url).alias("_by_index"))
+    return rows.join(by_url, [book, url], "left").join(by_index, [book, index], "left").withColumn(value, F.coalesce("_by_url", "_by_index")).drop("_by_url", "_by_index")

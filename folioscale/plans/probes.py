@@ -73,6 +73,7 @@ SQL = {
     "preset_fallback": f"SELECT preview_id, CASE WHEN {_FULL} THEN 2 END::INT AS preset, CASE WHEN {_FULL} THEN {_H1} ELSE '' END AS title FROM ({PAGES})",
     "pattern_extract": r"SELECT preview_id, nullif(coalesce(nullif(regexp_extract(html, '(?s)<h1[^>]*>第(.*?)章', 1), ''), regexp_extract(html, '(?s)<h1[^>]*>(\d+)', 1)), '') AS number FROM (" + PAGES + ")",
     "book_pages": f"SELECT plan_id, coalesce({_squash('book_name')}, '') AS book_name, coalesce({_squash('author')}, '') AS author, regexp_replace(coalesce({_squash('intro')}, ''), '。.*$', '') AS intro, coalesce(nullif(toc_url, ''), book_url) AS toc_url FROM book_plan",
+    "chapter_pages": f"SELECT url, {_H1} AS title, true AS whole FROM (SELECT url, arg_min(html, preview_id) AS html FROM ({PAGES}) GROUP BY url)",
     "candidate_attempts": _ATTEMPTS,
     "attempt_status": f"SELECT match_keyword, count(*) AS attempts, CASE WHEN count(*) FILTER (WHERE outcome = 'started') > 0 THEN 'started' ELSE 'exhausted' END AS status FROM ({_ATTEMPTS}) GROUP BY match_keyword",
     "probe_stages": """

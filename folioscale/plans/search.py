@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import present, ranking, toc
 from ..session import table
 from ..sources import capability
+from . import jobs
 
-STATS = ("attempts", "successes", "failures", "timeouts", "avg_success_ms", "last_success_at", "last_failure_at")
+STATS = ("attempts", "successes", "failures", "timeouts", "avg_duration_ms", "avg_success_ms", "last_success_at", "last_failure_at")
+#: The tables' names of site families, and ours.
+TABLE_FAMILIES = {"generic": "generic_html", "novelpub-like": "novelpub_like", "wordpress-like": "wordpress_madara_like", "novelfull-like": "novelfull_like", "json_api": "json_api"}
 #: Clean rules of the demonstration query: (repo, seq, pattern, replacement, scope).
 RULES = [(1, 0, "一", "", []), (1, 1, "二", "x", ["moyu"]), (1, 2, "三", "", ["re:^(shiye|dengxia)"]), (1, 3, "四", "", ["re:("]), (2, 0, "一", "", []), (2, 1, "五", "", ["文学", "example"])]
 
@@ -37,17 +40,45 @@ def search_per_source_limit(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.first_per_group(table(spark, folder, "search_hit"), ["source_id", "match_keyword"], [F.col("hit_id")], 3).select("source_id", "match_keyword", "hit_id", "rank")
 
 
+def _extractor(family: Column) -> Column:
+    """The extractor of the tables' names of families."""
+    names = F.create_map(*(F.lit(x) for pair in TABLE_FAMILIES.items() for x in pair))
+    return F.element_at(capability.preferred_extractors(F.coalesce(names[family], F.lit("generic_html"))), 1)
+
+
 def source_priority(spark: SparkSession, folder: str) -> DataFrame:
     """The searchable sources in the order in which they are asked."""
     df = table(spark, folder, "book_source").where("enabled and supports_search").join(table(spark, folder, "search_source_stats").drop("updated_at"), "source_id", "left")
     stats = {k: F.col(k) for k in STATS}
-    order = ranking.priority_order(ranking.runtime_state(stats), F.col("supports_download"), stats)
-    return ranking.first_per_group(df, [], [*order, F.col("source_id")], 10_000, "position").select("position", "source_id")
+    order = ranking.priority_order(ranking.runtime_state(stats), F.col("supports_download"), stats, F.when(F.col("template_family").isNotNull(), _extractor(F.col("template_family"))))
+    return ranking.positions(df, [*order, F.col("source_id")]).select("position", "source_id")
+
+
+def search_skips(spark: SparkSession, folder: str) -> DataFrame:
+    """Why a source is not searched; null where it is. Sources that have only failed count as unsupported here."""
+    df = table(spark, folder, "book_source").join(table(spark, folder, "search_source_stats").select("source_id", "attempts", "successes", "failures"), "source_id", "left")
+    state = F.when((F.col("failures") > 0) & (F.col("successes") == 0), "unsupported").otherwise("healthy")
+    summary = ranking.stage_summary(F.concat(F.lit("失败 "), F.col("failures").cast("string")), F.lit(None), state)
+    return df.select("source_id", ranking.search_skip_reason(F.col("supports_search"), F.col("issues"), state, summary).alias("reason"))
+
+
+def identity_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the hits on a planned page what is not the plan's title or author."""
+    hits = table(spark, folder, "search_hit").select("hit_id", "book_url", "title", "author")
+    plans = table(spark, folder, "book_plan").select("plan_id", "book_url", F.col("book_name").alias("expected_title"), F.col("author").alias("expected_author"))
+    got = hits.join(plans, "book_url")
+    return got.select("hit_id", "plan_id", ranking.identity_mismatch(F.col("title"), F.col("author"), F.col("expected_title"), F.col("expected_author")).alias("mismatch"))
 
 
 def candidate_resolution(spark: SparkSession, folder: str) -> DataFrame:
-    got = ranking.candidates(table(spark, folder, "search_hit"), table(spark, folder, "book_source"), table(spark, folder, "search_source_stats"))
-    return got.select("match_keyword", "position", "hit_id", "title_match", "author_match", "search_state", "skip_reason")
+    """Ranked candidates of every keyword, the author of the first plan of that name being expected."""
+    expected = table(spark, folder, "book_plan").groupBy(F.col("book_name").alias("match_keyword")).agg(F.min_by("author", "plan_id").alias("expected"))
+    hits = table(spark, folder, "search_hit").join(expected, "match_keyword", "left")
+    sources = table(spark, folder, "book_source").select("source_id", "name", "supports_download", "issues", _extractor(F.col("template_family")).alias("extractor"))
+    searched = table(spark, folder, "search_source_stats").select("source_id", ranking.runtime_state({k: F.col(k) for k in STATS}).alias("search"))
+    health = jobs.health_by_stage(spark, folder).drop("search").join(searched, "source_id", "left")
+    got = ranking.candidates(hits, sources, health, author=F.col("expected"))
+    return got.select("match_keyword", "position", "hit_id", "title_match", "author_match", "search_state", "preflight_state", "download_state", "skip_reason")
 
 
 def search_early_stop(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,6 +114,18 @@ def next_pages(spark: SparkSession, folder: str) -> DataFrame:
     return toc.walked(starts, edges, 5).select(F.col("start").alias("plan_id"), "page", "url")
 
 
+def toc_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The chapters of every plan read back from list pages of seven entries that lead on to each other."""
+    plans = table(spark, folder, "book_plan").where("size(toc) > 0 and toc_url is not null").groupBy(F.regexp_replace("toc_url", "#.*$", "").alias("toc_url")).agg(F.min_by("toc", "plan_id").alias("toc"))
+    cut = plans.select("toc_url", F.posexplode(F.expr("transform(sequence(0, size(toc) - 1, 7), i -> slice(toc, i + 1, 7))")).alias("page", "part"), F.size("toc").alias("n"))
+    at = lambda page: F.concat("toc_url", F.lit("?list="), page.cast("string"))
+    body = F.to_json(F.struct(F.expr("transform(part, c -> struct(c.title as title, c.url as url))").alias("list"), F.when((F.col("page") + 1) * 7 < F.col("n"), at(F.col("page") + 1)).alias("next")))
+    pages = cut.select(at(F.col("page")).alias("url"), body.alias("html"))
+    starts = plans.select(F.col("toc_url").alias("start"), F.concat("toc_url", F.lit("?list=0")).alias("url"))
+    got = toc.chapter_lists(starts, pages, {"chapterList": "$.list[*]", "chapterName": "title", "chapterUrl": "url", "nextTocUrl": "$.next"})
+    return got.select(F.col("start").alias("toc_url"), "index", "title", "url")
+
+
 def sample_positions(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "book_plan").select("plan_id", F.posexplode("toc").alias("pos", "c")).select("plan_id", "pos", F.col("c.url").alias("url"))
     return toc.samples(rows, "plan_id", ["pos"], 3)
@@ -114,7 +157,7 @@ def response_budget(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (search_rank, search_topk, search_per_source_limit, source_priority, candidate_resolution, search_early_stop, search_run_summary, author_classes, toc_clean, next_pages, sample_positions, source_listing, source_counts, clean_rule_scope, page_window, response_budget)
+    for f in (search_rank, search_topk, search_per_source_limit, source_priority, search_skips, identity_check, candidate_resolution, search_early_stop, search_run_summary, author_classes, toc_clean, toc_pages, next_pages, sample_positions, source_listing, source_counts, clean_rule_scope, page_window, response_budget)
 }
 
 WS = r"[\s\x{0B}\x{85}\p{Z}]"
@@ -127,7 +170,8 @@ def _cmp(x: str) -> str:
 _CLASS = f"CASE WHEN {_cmp('match_keyword')} = '' THEN 'other' WHEN {_cmp('title')} = {_cmp('match_keyword')} THEN 'exact' WHEN contains({_cmp('title')}, {_cmp('match_keyword')}) THEN 'contains' ELSE 'other' END"
 _RANK = "CASE {} WHEN 'exact' THEN 0 WHEN 'contains' THEN 1 ELSE 2 END"
 _STATE = "CASE WHEN coalesce(successes, 0) + coalesce(failures, 0) = 0 THEN 'unknown' WHEN coalesce(failures, 0) = 0 THEN 'healthy' WHEN successes > 0 AND failures <= successes THEN 'degraded' ELSE 'broken' END"
-_STATE_RANK = f"CASE {_STATE} WHEN 'healthy' THEN 0 WHEN 'unknown' THEN 1 WHEN 'degraded' THEN 2 ELSE 3 END"
+_RANKED = "CASE {} WHEN 'healthy' THEN 0 WHEN 'degraded' THEN 1 WHEN 'unknown' THEN 2 WHEN 'broken' THEN 3 WHEN 'unsupported' THEN 4 ELSE 5 END"
+_EXTRACTOR = "CASE template_family WHEN 'novelpub-like' THEN 0 WHEN 'wordpress-like' THEN 0 WHEN 'novelfull-like' THEN 0 ELSE 1 END"
 _HITS = f"SELECT h.*, coalesce(s.supports_download, false) AS dl, {_CLASS} AS cls FROM search_hit h LEFT JOIN book_source s USING (source_id)"
 _ORDER = f"{_RANK.format('cls')}, CASE WHEN dl THEN 0 ELSE 1 END, lower(coalesce(title, '')), lower(coalesce(author, '')), hit_id"
 
@@ -136,17 +180,24 @@ SQL = {
     "search_topk": f"SELECT hit_id, title FROM ({_HITS}) ORDER BY {_ORDER} LIMIT 20",
     "search_per_source_limit": "SELECT source_id, match_keyword, hit_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id, match_keyword ORDER BY hit_id) AS rank FROM search_hit) WHERE rank <= 3",
     "source_priority": f"""
-SELECT row_number() OVER (ORDER BY {_STATE_RANK}, CASE WHEN supports_download THEN 0 ELSE 1 END, history, penalty, speed, recency NULLS FIRST, source_id)::INT AS position, source_id
-FROM (SELECT *, CASE WHEN history = 0 THEN timeouts * 2 + greatest(0, failures - successes) ELSE coalesce(timeouts * 2 + failures, 0) END AS penalty,
-             CASE WHEN history = 0 AND avg_success_ms > 0 THEN avg_success_ms ELSE 'infinity'::DOUBLE END AS speed, CASE WHEN history = 0 THEN -coalesce(last_success_at, 0) ELSE coalesce(last_failure_at, 0) END AS recency
-      FROM (SELECT b.*, t.* EXCLUDE (source_id, updated_at), CASE WHEN successes > 0 THEN 0 WHEN coalesce(attempts, 0) = 0 THEN 1 ELSE 2 END AS history FROM book_source b LEFT JOIN search_source_stats t USING (source_id) WHERE enabled AND supports_search))""",
+SELECT row_number() OVER (ORDER BY {_RANKED.format(f"({_STATE})")}, CASE WHEN supports_download THEN 0 ELSE 1 END, {_EXTRACTOR}, history, penalty, speed, recency, source_id) AS position, source_id
+FROM (SELECT *, CASE history WHEN 0 THEN timeouts * 2 + greatest(0, failures - successes) WHEN 1 THEN 0 ELSE timeouts * 2 + failures END AS penalty,
+             CASE history WHEN 0 THEN coalesce(nullif(avg_success_ms, 0), nullif(avg_duration_ms, 0), 'infinity'::DOUBLE) WHEN 1 THEN 'infinity'::DOUBLE ELSE coalesce(nullif(avg_duration_ms, 0), 'infinity'::DOUBLE) END AS speed,
+             CASE history WHEN 0 THEN -coalesce(last_success_at, 0) WHEN 1 THEN 0 ELSE coalesce(last_failure_at, 0) END AS recency
+      FROM (SELECT b.*, t.* EXCLUDE (source_id, updated_at), CASE WHEN t.source_id IS NULL THEN 1 WHEN successes > 0 THEN 0 ELSE 2 END AS history FROM book_source b LEFT JOIN search_source_stats t ON b.source_id = t.source_id WHERE enabled AND supports_search))""",
+    "search_skips": "SELECT b.source_id, CASE WHEN NOT coalesce(supports_search, false) THEN CASE WHEN array_to_string(coalesce(issues, []), '；') <> '' THEN array_to_string(issues, '；') ELSE '当前书源不支持 route A 搜索' END WHEN failures > 0 AND successes = 0 THEN '失败 ' || failures END AS reason FROM book_source b LEFT JOIN search_source_stats t ON b.source_id = t.source_id",
+    "identity_check": f"SELECT hit_id, plan_id, CASE WHEN {_cmp('book_name')} <> '' AND {_cmp('title')} <> {_cmp('book_name')} THEN 'title' WHEN {_cmp('p.author')} <> '' AND {_cmp('h.author')} <> {_cmp('p.author')} THEN 'author' END AS mismatch FROM search_hit h JOIN book_plan p USING (book_url)",
     "candidate_resolution": f"""
-WITH j AS (SELECT h.*, s.supports_download, s.issues, {_CLASS} AS title_match, 'unspecified' AS author_match, {_STATE} AS search_state,
-  CASE WHEN trim(coalesce(h.book_url, '')) = '' THEN 'missing book_url' WHEN NOT coalesce(s.supports_download, false) THEN CASE WHEN array_to_string(coalesce(s.issues, []), '; ') <> '' THEN array_to_string(s.issues, '; ') ELSE 'download not supported' END END AS skip_reason
-  FROM search_hit h LEFT JOIN book_source s USING (source_id) LEFT JOIN search_source_stats t USING (source_id)),
-r AS (SELECT *, {_RANK.format('title_match')} AS o1, {_STATE_RANK.replace(_STATE, 'search_state')} AS o2, CASE WHEN coalesce(supports_download, false) THEN 0 ELSE 1 END AS o3, coalesce(len(issues), 0) AS o4, lower(coalesce(title, '')) AS o5, lower(coalesce(author, '')) AS o6, coalesce(source_name, '') AS o7 FROM j),
-d AS (SELECT *, row_number() OVER (PARTITION BY coalesce(source_id, ''), coalesce(book_url, ''), {_cmp('title')}, {_cmp('author')}, coalesce(match_keyword, '') ORDER BY o1, o2, o3, o4, o5, o6, o7, hit_id) AS n FROM r)
-SELECT match_keyword, row_number() OVER (PARTITION BY match_keyword ORDER BY (skip_reason IS NOT NULL)::INT, o1, o2, o3, o4, o5, o6, o7, hit_id)::INT AS position, hit_id, title_match, author_match, search_state, skip_reason FROM d WHERE n = 1""",
+WITH x AS (SELECT book_name, arg_min_null(author, plan_id) AS expected FROM book_plan GROUP BY book_name),
+st AS (SELECT source_id, {_STATE} AS search FROM search_source_stats),
+j AS (SELECT h.*, s.supports_download, list_slice(coalesce(s.issues, []), 1, 3) AS issues, s.name, CASE WHEN s.source_id IS NULL THEN 2 ELSE {_EXTRACTOR} END AS extractor, {_CLASS} AS title_match,
+  CASE WHEN {_cmp('x.expected')} = '' THEN 'unspecified' WHEN {_cmp('h.author')} = '' THEN 'missing' WHEN {_cmp('h.author')} = {_cmp('x.expected')} THEN 'exact' WHEN contains({_cmp('h.author')}, {_cmp('x.expected')}) OR contains({_cmp('x.expected')}, {_cmp('h.author')}) THEN 'contains' ELSE 'mismatch' END AS author_match,
+  coalesce(st.search, 'unknown') AS search_state, coalesce(b.preflight, 'unknown') AS preflight_state, coalesce(b.download, 'unknown') AS download_state
+  FROM search_hit h LEFT JOIN x ON x.book_name = h.match_keyword LEFT JOIN book_source s ON s.source_id = h.source_id LEFT JOIN st ON st.source_id = h.source_id LEFT JOIN ({jobs.BY_STAGE}) b ON b.source_id = h.source_id),
+k AS (SELECT *, CASE WHEN trim(coalesce(book_url, '')) = '' THEN '搜索结果缺少 book_url，无法自动下载' WHEN NOT coalesce(supports_download, false) OR preflight_state = 'unsupported' OR download_state = 'unsupported' THEN CASE WHEN preflight_state = 'unsupported' OR download_state = 'unsupported' THEN '静态规则不支持' WHEN array_to_string(issues, '；') <> '' THEN array_to_string(issues, '；') ELSE '书源当前不支持 TXT 下载' END END AS skip_reason FROM j),
+r AS (SELECT *, {_RANK.format('title_match')} AS o1, CASE author_match WHEN 'exact' THEN 0 WHEN 'contains' THEN 1 WHEN 'unspecified' THEN 2 WHEN 'missing' THEN 3 ELSE 4 END AS o2, {_RANKED.format('preflight_state')} AS o3, {_RANKED.format('download_state')} AS o4, {_RANKED.format('search_state')} AS o6, len(issues) AS o7, {_cmp('title')} AS o8, {_cmp('author')} AS o9, {_cmp("coalesce(CASE WHEN trim(source_name) <> '' THEN source_name END, name, source_id)")} AS o10 FROM k),
+d AS (SELECT *, row_number() OVER (PARTITION BY coalesce(source_id, ''), trim(coalesce(book_url, '')), o8, o9, coalesce(match_keyword, '') ORDER BY o1, o2, o3, o4, extractor, o6, o7, o8, o9, o10, hit_id) AS n FROM r)
+SELECT match_keyword, row_number() OVER (PARTITION BY match_keyword ORDER BY (skip_reason IS NOT NULL)::INT, o1, o2, o3, o4, extractor, o6, o7, o8, o9, o10, hit_id)::INT AS position, hit_id, title_match, author_match, search_state, preflight_state, download_state, skip_reason FROM d WHERE n = 1""",
     "search_early_stop": f"""
 SELECT * FROM (SELECT *, coalesce(sum(exact) OVER (PARTITION BY match_keyword ORDER BY source_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS hits_before
 FROM (SELECT match_keyword, source_id, count(*) FILTER (WHERE cls = 'exact') AS exact, count(*) AS hits FROM ({_HITS}) GROUP BY ALL)) WHERE hits_before < 3""",
@@ -166,6 +217,11 @@ WITH RECURSIVE e AS (SELECT url, min(next) AS next FROM (SELECT t.url AS url, to
 w AS (SELECT plan_id, 0 AS page, toc[1].url AS url, [toc[1].url] AS seen FROM book_plan WHERE len(toc) > 0
  UNION ALL SELECT w.plan_id, w.page + 1, e.next, list_append(w.seen, e.next) FROM w JOIN e ON w.url = e.url WHERE e.next IS NOT NULL AND w.page < 4 AND NOT list_contains(w.seen, e.next))
 SELECT plan_id, page, url FROM w""",
+    "toc_pages": f"""
+WITH p AS (SELECT regexp_replace(toc_url, '#.*$', '') AS toc_url, arg_min_null(toc, plan_id) AS toc FROM book_plan WHERE len(toc) > 0 AND toc_url IS NOT NULL GROUP BY 1),
+x AS (SELECT toc_url, n, {{sq}} FROM (SELECT *, unnest(toc) AS t, generate_subscripts(toc, 1) AS n FROM p)),
+u AS (SELECT *, row_number() OVER (PARTITION BY toc_url, url ORDER BY n) AS c FROM x WHERE title <> '' AND url <> '')
+SELECT toc_url, (row_number() OVER (PARTITION BY toc_url ORDER BY n) - 1)::INT AS index, title, url FROM u WHERE c = 1""".replace("{{sq}}", r"trim(regexp_replace(t.title, '[\s\x{0B}\x{85}\p{Z}]+', ' ', 'g')) AS title, t.url AS url").replace("{sq}", r"trim(regexp_replace(t.title, '[\s\x{0B}\x{85}\p{Z}]+', ' ', 'g')) AS title, t.url AS url"),
     "sample_positions": "SELECT plan_id, pos, url FROM (SELECT plan_id, (n - 1)::INT AS pos, t.url AS url, len(toc) AS k FROM (SELECT plan_id, toc, unnest(toc) AS t, generate_subscripts(toc, 1) AS n FROM book_plan)) WHERE k <= 3 OR pos IN (0, k // 2, k - 1)",
     "source_listing": "SELECT source_id, name, total, (total > 15) AS has_more, CASE WHEN total > 15 THEN 15 END AS next_offset, greatest(0, total - 15)::BIGINT AS omitted FROM (SELECT source_id, name, enabled FROM book_source ORDER BY CASE WHEN enabled THEN 0 ELSE 1 END, coalesce(name, ''), source_id LIMIT 10 OFFSET 5), (SELECT count(*) AS total FROM book_source)",
     "source_counts": "SELECT template_family, count(*) AS sources, count(*) FILTER (WHERE enabled) AS enabled, count(*) FILTER (WHERE supports_search) AS search, count(*) FILTER (WHERE supports_download) AS download, sum(len(issues))::BIGINT AS issues FROM book_source GROUP BY template_family",

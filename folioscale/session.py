@@ -19,10 +19,13 @@ _made: list[str] = []
 def shared_base(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, a laptop) a folder is made and set.
+    Only where a local session names none (tests, a laptop) a folder is made and set; on a cluster every
+    node would write to a disk of its own, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folioscale-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import urls
+from . import capability
 
 #: Encodings that are tried after the declared one. Fixed values.
 CASCADE = ["utf-8", "gb18030", "gbk", "big5"]
@@ -101,7 +103,7 @@ def clean_rules_text(df: DataFrame, text: str = "text") -> DataFrame:
 def journal_lines(df: DataFrame, schema: str, text: str = "text") -> DataFrame:
     """SRC-18: (pos, corrupt, record) of JSON lines; a last line without an end is torn and left out."""
     keep = [c for c in df.columns if c != text]
-    whole = F.regexp_replace(F.col(text), r"[^\n]+$", "")
+    whole = F.regexp_replace(F.col(text), r"[^\n]+\z", "")
     rows = df.select(*keep, F.posexplode(F.split(whole, "\n")).alias("pos", "line")).where(X.trim(F.col("line")) != "")
     got = F.when(F.try_parse_json("line").isNotNull() & X.trim(F.col("line")).startswith("{"), F.from_json("line", schema))
     return rows.select(*keep, "pos", got.isNull().alias("corrupt"), got.alias("record"))
@@ -116,3 +118,24 @@ def new_refs(refs: DataFrame, done: DataFrame, now: float, running_seconds: floa
 def backfilled(current: DataFrame, legacy: DataFrame, keys: Sequence[str]) -> DataFrame:
     """SRC-20: legacy rows added where no row of their key is there yet."""
     return current.unionByName(legacy.join(current.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
+
+
+def fetched(requests: DataFrame, store: DataFrame, id: str = "id") -> DataFrame:
+    """SRC-03: (id, url, text, error): pages of a page store for requests "address,{options}".
+
+    store: (url, bytes, charset), one row for each address; charset may be null. A request that needs a
+    browser or a script is refused (FLT-10); the charset of the options wins over the store's, then the
+    cascade decides. A body makes a POST, whose page the store holds under "address body".
+    """
+    address, options = urls.request_options(F.col("url"))
+    asked = requests.select(id, address.alias("_address"), options.alias("_options"))
+    refusal = capability.request_refusal(F.col("_options"))
+    body = X.blank_to_null(F.col("_options")["body"])
+    key = F.concat_ws(" ", urls.normalised(F.col("_address")), body)
+    asked = asked.select(id, key.alias("_key"), refusal.alias("_refused"), F.col("_options")["charset"].alias("_charset"))
+    held = store.select(urls.normalised(F.substring_index("url", " ", 1)).alias("_at"), F.regexp_extract("url", r"^\S+ (.*)$", 1).alias("_body"), F.col("url").alias("_url"), F.col("bytes").alias("_bytes"), F.col("charset").alias("_stored"))
+    held = held.select(F.concat_ws(" ", "_at", F.when(F.col("_body") != "", F.col("_body"))).alias("_key"), "_url", "_bytes", "_stored")
+    got = asked.join(held, "_key", "left")
+    named = F.coalesce(X.blank_to_null(F.col("_charset")), X.blank_to_null(F.col("_stored")), sniffed(F.col("_bytes")))
+    error = F.when(F.col("_refused").isNotNull(), F.concat(F.lit("refused: "), F.col("_refused"))).when(F.col("_bytes").isNull(), "page not found")
+    return got.withColumn("error", error).select(id, F.col("_url").alias("url"), F.when(F.col("error").isNull(), decoded(F.col("_bytes"), named)).alias("text"), "error")

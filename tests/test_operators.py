@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioscale import sinks
-from folioscale.operators import health, journal, present, toc
+from folioscale.functions import text as X
+from folioscale.operators import health, journal, present, ranking, toc
 from folioscale.sources import capability, readers
 from folioscale.streaming import health as stream
 
@@ -55,9 +57,98 @@ def test_toc(spark):
     assert [r.pos for r in toc.samples(n, "g", ["pos"], 1).collect()] == [0] and toc.samples(n, "g", ["pos"], 9).count() == 7
     pages = spark.createDataFrame([("c", 1, "", "b"), ("c", 0, "T", "a"), ("c", 2, None, " ")], "g string, n int, title string, content string")
     assert tuple(toc.joined_pages(pages, "g", "n", "title", "content").first()) == ("c", "T", "a\n\nb")
-    saved = spark.createDataFrame([("u", 0, "v0"), ("w", 1, "v1")], "url string, index int, v string")
-    want = spark.createDataFrame([("u", 1), ("zz", 0), (None, 5)], "url string, index int")
-    assert sorted((str(r.url), r.v) for r in toc.restored(want, saved, "url", "index", "v").collect()) == [("None", None), ("u", "v0"), ("zz", "v0")]
+    saved = spark.createDataFrame([("b", "u", 0, "v0"), ("b", "w", 1, "v1"), ("c", "x", 0, "other book")], "g string, url string, index int, v string")
+    want = spark.createDataFrame([("b", "u", 1), ("b", "zz", 0), ("b", None, 5)], "g string, url string, index int")
+    assert sorted((str(r.url), r.v) for r in toc.restored(want, saved, "g", "url", "index", "v").collect()) == [("None", None), ("u", "v0"), ("zz", "v0")]
+
+
+def test_long_lists_and_their_pages(spark):
+    n = 150
+    edges = spark.createDataFrame([(f"u{k}", f"u{k + 1}") for k in range(n)] + [("a", "b"), ("b", "a"), ("z", "z")], "url string, next string")
+    starts = spark.createDataFrame([("s", "u0"), ("t", f"u{n - 3}"), ("c", "a"), ("z", "z"), ("x", "nowhere")], "start string, url string")
+    got = toc.walked(starts, edges, 100)
+    assert {r.start: r.n for r in got.groupBy("start").agg(F.count("*").alias("n")).collect()} == {"s": 100, "t": 4, "c": 2, "z": 1, "x": 1}
+    assert all(r.url == f"u{r.page}" for r in got.where("start = 's'").collect())
+    base = "https://h.example/l"
+    page = lambda k: f'<ul><li><a href="/c/{k}">C{k}</a></li><li><a href="/c/0">again</a></li><li><a>no link</a></li></ul><a id="n" href="?p={k + 1 if k < 11 else 3}">next</a>'
+    pages = spark.createDataFrame([(f"{base}?p={k}", page(k)) for k in range(12)] + [(f"{base}?p=99", None)], "url string, html string")
+    lists = toc.chapter_lists(spark.createDataFrame([("book", f"{base}?p=0"), ("none", f"{base}?p=99")], "start string, url string"), pages, {"chapterList": "li", "chapterName": "a@text", "chapterUrl": "a@href", "nextTocUrl": "#n@href"})
+    rows = sorted((r["index"], r.title, r.url) for r in lists.where("start = 'book'").collect())
+    assert rows == [(k, f"C{k}", f"https://h.example/c/{k}") for k in range(12)] and lists.where("start = 'none'").count() == 0
+
+
+def test_resuming_a_job(spark):
+    c = lambda *xs: [(i, f"t{i}", f"u{i}") for i in xs]
+    rows = [(1, "a", "manifest", None, None, None, None, c(0, 1, 2)), (2, "a", "chapter", 0, "u0", "done", None, None), (3, "b", "manifest", None, None, None, None, c(0)), (4, "b", "chapter", 0, "u0", "x", None, None), (5, "c", "manifest", None, None, None, None, c(5)), (6, "d", "chapter", 0, "u0", "x", None, None)]
+    schema = "rec_id long, job_id string, kind string, index int, url string, content string, state string, chapters array<struct<index: int, title: string, url: string>>, title string, error string"
+    log = spark.createDataFrame([(*r, None, None) for r in rows], schema)
+    store = spark.createDataFrame([("u1", "T1", "one"), ("u2", None, " "), ("u5", "", "five")], "url string, title string, content string")
+    got = {(r.job_id, r.step, r["index"]): (r.kind, r.title, r.content, r.error, r.state, r.missing_count, r.error_count) for r in journal.resumed(log, store).collect()}
+    assert got == {
+        ("a", 0, None): ("state", None, None, None, "downloading", 2, None), ("a", 1, 1): ("chapter", "T1", "one", None, None, None, None), ("a", 1, 2): ("error", "t2", None, "chapter content empty", None, None, None), ("a", 2, None): ("state", None, None, None, "failed", None, 1),
+        ("b", 2, None): ("state", None, None, None, "assembled", None, None),
+        ("c", 0, None): ("state", None, None, None, "downloading", 1, None), ("c", 1, 5): ("chapter", "t5", "five", None, None, None, None), ("c", 2, None): ("state", None, None, None, "downloaded", None, None),
+    }
+    again = log.unionByName(journal.resumed(log, store).withColumn("rec_id", F.col("step") + 100).select("rec_id", "job_id", "kind", "index", "url", "content", "state", "title", "error"), allowMissingColumns=True)
+    assert [(r.job_id, r["index"]) for r in journal.missing(again).collect()] == [("a", 2)]  # goes on where it ended
+    assert {r.job_id for r in journal.without_finished(again).select("job_id").collect()} == {"a", "c", "d"}
+    assert [r.wave for r in journal.waves(spark.range(5).withColumn("g", F.lit("x")), "g", ["id"], 2).orderBy("id").collect()] == [0, 0, 1, 1, 2]
+    assert journal.resumed(log.limit(0), store).count() == 0 and journal.resumed(log, store.limit(0)).where("kind = 'error'").count() == 3
+
+
+def test_priority_and_positions(spark):
+    rows = [("none", True, None, None, None, None, None, None, None, None), ("zero", True, 0, 0, 0, 0, None, None, None, None), ("slow", True, 4, 3, 1, 0, 900.0, 0.0, 5.0, 1.0), ("fast", True, 4, 3, 1, 0, 900.0, 80.0, 5.0, 1.0), ("bad", True, 3, 1, 2, 1, 10.0, 10.0, 1.0, 9.0), ("off", False, 9, 9, 0, 0, 1.0, 1.0, 9.0, 0.0), ("ok", True, 9, 9, 0, 0, 0.0, 0.0, 9.0, 0.0)]
+    names = ["source_id", "able", "attempts", "successes", "failures", "timeouts", "avg_duration_ms", "avg_success_ms", "last_success_at", "last_failure_at"]
+    df = spark.createDataFrame(rows, "source_id string, able boolean, attempts int, successes int, failures int, timeouts int, avg_duration_ms double, avg_success_ms double, last_success_at double, last_failure_at double").repartition(3)
+    stats = {k: F.col(k) for k in names[2:]}
+    got = ranking.positions(df, [*ranking.priority_order(ranking.runtime_state(stats), F.col("able"), stats), F.col("source_id")])
+    assert [r.source_id for r in got.orderBy("position").collect()] == ["ok", "off", "fast", "slow", "none", "zero", "bad"]
+    assert sorted(r.position for r in ranking.positions(spark.range(1000), [F.col("id") % 7, F.col("id")]).collect()) == list(range(1, 1001))
+    assert ranking.positions(df.limit(0), [F.col("source_id")]).count() == 0
+    ranks = spark.createDataFrame([("template_x",), ("fallback_rule",), ("",), (None,), ("webview_dynamic",), ("javascript_dynamic",)], "e string")
+    assert [tuple(r) for r in ranks.select(ranking.extractor_rank(F.col("e")), ranking.profile_rank(F.col("e"))).collect()] == [(0, 0), (1, 1), (2, 2), (2, 1), (3, 2), (4, 3)]
+
+
+def test_identity_and_summaries(spark):
+    df = spark.createDataFrame([(" Straße ", "A", "STRASSE", ""), ("x", "B", "", "b "), ("x", None, "X", "c"), ("y", "c", "x", "c")], "t string, a string, et string, ea string")
+    assert [r.m for r in df.select(ranking.identity_mismatch(F.col("t"), F.col("a"), F.col("et"), F.col("ea")).alias("m")).collect()] == [None, None, "author", "title"]
+    with pytest.raises(Exception, match="title mismatch"):
+        ranking.checked_identity(df, "t", "a", F.col("et"), F.col("ea")).where("a = 'c'").collect()
+    s = spark.createDataFrame([("n", "e", "broken"), (" ", "e", "broken"), (None, None, "degraded"), (None, None, None)], "n string, e string, s string")
+    assert [r.m for r in s.select(ranking.stage_summary(F.col("n"), F.col("e"), F.col("s")).alias("m")).collect()] == ["n", "e", "最近探测不稳定", "尚无健康记录"]
+
+
+def test_capability_of_definitions(spark):
+    full = {"bookSourceName": "A", "bookSourceUrl": "https://a.example", "searchUrl": "/s", "ruleSearch": {"list": "li"}, "ruleBookInfo": {"name": "h1"}, "ruleToc": {"list": "li"}, "ruleContent": {"content": "#chr-content@text"}, "header": "X: 1\nY: a:b\nX: 2", "loginUrl": ""}
+    odd = [full, full | {"ruleToc": "<js>x</js>"}, full | {"searchUrl": 's,{"webView": true}'}, full | {"singleUrl": True, "loginUrl": "login()=>1"}, full | {"ruleContent": {"content": ".reading-content"}, "jsLib": "x", "loginUi": "[{}]"}, {"title": " "}]
+    text = __import__("json").dumps(odd, ensure_ascii=False)
+    df = readers.source_definitions(spark.createDataFrame([(text,)], "text string"))
+    got = capability.strategy(capability.family(capability.capability(capability.normalised(df)))).orderBy("pos").collect()
+    assert [(r.supports_search, r.supports_download, r.template_family, r.search_mode, r.download_mode) for r in got] == [
+        (True, True, "novelfull_like", "keyword_search", "chapter_list"), (True, False, "javascript_dynamic", "keyword_search", "unsupported_js"), (False, True, "webview_dynamic", "unsupported_webview", "chapter_list"),
+        (True, True, "single_url", "single_url", "chapter_list"), (True, True, "authenticated_html", "keyword_search", "chapter_list"), (False, False, "generic_html", "missing_rules", "missing_rules"),
+    ]
+    assert got[0].headers == {"X": "2", "Y": "a:b"} and got[0].issues == [] and got[5].name == "未命名书源" and len(got[4].issues) == 2
+    o = spark.createDataFrame([({"webView": "true"},), ({"js": "x"},), ({"js": " "},), (None,)], "o map<string,string>")
+    assert [r.r for r in o.select(capability.request_refusal(F.col("o")).alias("r")).collect()] == ["webView", "js", None, None]
+
+
+def test_page_store(spark):
+    store = spark.createDataFrame([("https://h.example/a", "中文".encode("gbk"), None), ("https://h.example/a k=1", b"posted", None), ("https://h.example/b", None, None)], "url string, bytes binary, charset string")
+    asked = spark.createDataFrame([(1, 'https://H.example/a#x,{"charset": "gbk"}'), (2, 'https://h.example/a,{"body": "k=1", "method": "POST"}'), (3, "https://h.example/b"), (4, 'https://h.example/a,{"webView": 1}'), (5, None)], "id int, url string")
+    got = {r.id: (r.text, r.error) for r in readers.fetched(asked, store).collect()}
+    assert got == {1: ("中文", None), 2: ("posted", None), 3: (None, "page not found"), 4: (None, "refused: webView"), 5: (None, "page not found")}
+    torn = spark.createDataFrame([('{"a": 1}\n{"a": 2}\n',), ('{"a": 3}\n{"a"',)], "text string")
+    assert sorted(r.record.a for r in readers.journal_lines(torn, "a int").collect()) == [1, 2, 3]
+
+
+def test_marks_and_entities(spark):
+    rows = [("a", "search", 1.0, 1, True, 5.0, None, "fine", None), ("a", "search", 2.0, 2, None, None, None, "no rules", "unsupported"), ("b", "search", 2.0, 2, None, None, None, None, "unknown"), ("b", "search", 3.0, 3, False, 7.0, "timeout", None, None)]
+    df = spark.createDataFrame(rows, "source_id string, stage string, at double, id long, ok boolean, elapsed_ms double, error string, note string, mark string")
+    got = {r.source_id: (r.state, r.attempts, r.successes, r.avg_ms, r.last_error, r.note) for r in health.health(df).collect()}
+    assert got == {"a": ("unsupported", 1, 1, 5.0, None, "no rules"), "b": ("broken", 1, 0, 7.0, "timeout", "")}
+    t = spark.createDataFrame([("<p>&#8220;caf&eacute;&#8221; &amp;lt; R&D &nbsp;&hellip;</p>",), ("a &lt; b",), (None,)], "h string")
+    assert [r.t for r in t.select(X.html_to_text(F.col("h")).alias("t")).collect()] == ["“café” &lt; R&D \xa0…", "a < b", None]
 
 
 EVENT = "source_id string, stage string, at double, id long, ok boolean, elapsed_ms double, error string, metadata map<string,string>"
@@ -93,7 +184,7 @@ def test_health_folds_agree_with_brute_force_and_stream(spark, tmp_path):
     for r in rows:
         n, m = mean.get(r["source_id"], (0, 0.0))
         v = max(0.0, r["elapsed_ms"] or 0.0)
-        mean[r["source_id"]] = (n + 1, health.round_half_up(v if n == 0 else (m * n + v) / (n + 1)))
+        mean[r["source_id"]] = (n + 1, round(v if n == 0 else (m * n + v) / (n + 1), 3))
     assert {r.source_id: (r.n, r["mean"]) for r in health.rolling_means(df).collect()} == mean
     full = health.with_defaults(spark.createDataFrame([("a",), ("none",)], "source_id string"), health.health(df))
     assert full.count() == 6 and health.by_stage(full).where("source_id = 'none' and search = 'unknown'").count() == 1
