@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,9 +55,18 @@ class Engine:
         df = self.spark.createDataFrame([(text,)], "text string")
         return readers.clean_rules_json(df) if text.lstrip()[:1] in ("{", "[") else readers.clean_rules_text(df)
 
-    def sources(self, offset: int = 0, limit: int | None = None, include_disabled: bool = True) -> DataFrame:
+    def _some(self, df: DataFrame, ids: Sequence[str] | None) -> DataFrame:
+        """JN-06: the rows of the given sources; all if none are given."""
+        ids = [i.strip() for i in ids or () if i.strip()]
+        return df.where(F.col("source_id").isin(ids)) if ids else df
+
+    def stats(self, ids: Sequence[str] | None = None) -> DataFrame:
+        """SRC-17: what the searches of the sources have been like."""
+        return self._some(self._table("search_source_stats"), ids)
+
+    def sources(self, offset: int = 0, limit: int | None = None, include_disabled: bool = True, ids: Sequence[str] | None = None) -> DataFrame:
         """SRT-04, LIM-04, SRC-15: a page of the sources, enabled ones first."""
-        rows = self._table("book_source").where(F.lit(include_disabled) | F.col("enabled"))
+        rows = self._some(self._table("book_source").where(F.lit(include_disabled) | F.col("enabled")), ids)
         return present.page(rows, [F.when(F.col("enabled"), 0).otherwise(1), F.coalesce("name", F.lit("")), F.col("source_id")], offset, limit or self.config.limit)
 
     def candidates(self, keyword: str, author: str = "", limit: int | None = None, health: DataFrame | None = None) -> DataFrame:

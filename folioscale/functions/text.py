@@ -9,9 +9,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from functools import reduce
-from html import unescape as _unescape
+from html.entities import name2codepoint
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,16 +66,6 @@ def blank_to_null(c: Column) -> Column:
     return F.when(trim(c) != "", c)
 
 
-def unescape(c: Column) -> Column:
-    """All HTML entities resolved."""
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: _unescape(x) if isinstance(x, str) and "&" in x else x)
-
-    return run(c)
-
-
 #: Entities that the native form resolves. Fixed values.
 ENTITIES = [("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&laquo;", "«"), ("&raquo;", "»"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&")]
 
@@ -86,10 +75,28 @@ def unescape_usual(c: Column) -> Column:
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
 
 
-def unescape_all(c: Column) -> Column:
-    """All entities: the usual ones in the JVM; only texts that still hold one beside "&" pass the function."""
-    usual = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES[:-1], c)
-    return F.when(c.rlike("&(?:#[0-9xX]|[A-Za-z])") & replace_all(usual, "&amp;", "").rlike("&(?:#[0-9xX]|[A-Za-z])"), unescape(c)).otherwise(F.replace(usual, F.lit("&amp;"), F.lit("&")))
+#: Code points of the named entities, and of the numbers 128 to 159, which are read as windows-1252.
+NAMED = name2codepoint | {"apos": 39}
+WINDOWS = {n: ord(bytes([n]).decode("cp1252", "replace")) for n in range(128, 160)}
+ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+
+
+def unescape(c: Column) -> Column:
+    """All entities, named and numeric, each resolved once, without leaving the JVM."""
+    named = F.create_map(*(F.lit(x) for pair in NAMED.items() for x in pair))
+    windows = F.create_map(*(F.lit(x) for pair in WINDOWS.items() for x in pair))
+
+    def piece(x: Column) -> Column:
+        name = F.regexp_extract(x, ENTITY, 1)
+        number = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).cast("int")
+        code = F.coalesce(windows[number], number, named[name])
+        known = F.when((code <= 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), 0xFFFD).otherwise(code)
+        char = F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
+        return F.when((name == "") | code.isNull(), F.concat(F.lit("&"), x)).otherwise(F.concat(char, F.substr(x, F.length(name) + 2)))
+
+    parts = F.split(c, "&")
+    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), piece), ""))
+    return F.when(c.rlike("&(?:#[0-9xX]|[A-Za-z])[A-Za-z0-9]*;"), whole).otherwise(c)
 
 
 def clean(c: Column, cleaners: Sequence[tuple[str, str]]) -> Column:
@@ -107,13 +114,13 @@ def lf(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
-def html_to_text(c: Column, native: bool = False) -> Column:
+def html_to_text(c: Column) -> Column:
     """STR-02: a fragment's text; block ends become line ends."""
     c = replace_all(c, r"(?is)<(script|style)\b.*?</\1>", "")
     c = replace_all(c, r"(?i)<br\s*/?>", "\n")
     c = replace_all(c, r"(?i)</(p|div|section|article|li|tr|h[1-6])\s*>|<li\b[^>]*>", "\n")
     c = replace_all(c, r"<[^>]+>", "")
-    c = lf(unescape_usual(c) if native else unescape_all(c))
+    c = lf(unescape(c))
     for pattern, by in ((r"[ \t]*\n[ \t]*", "\n"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n")):
         c = replace_all(c, pattern, by)
     return trim(c)
@@ -126,7 +133,7 @@ def html_to_text_job(c: Column, strip: bool = True, entities: bool = True, space
         c = replace_all(c, r"(?i)<br\s*/?>|</(p|div|li|h[1-6])\s*>", "\n")
         c = replace_all(c, r"<[^>]+>", "")
     if entities:
-        c = unescape_all(c)
+        c = unescape(c)
     if spaces:
         c = F.replace(F.replace(lf(c), F.lit("\xa0"), F.lit(" ")), F.lit("　"), F.lit("  "))
         for pattern, by in ((r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")):
@@ -139,13 +146,13 @@ def html_to_text_template(c: Column) -> Column:
     """STR-04: br, p and div only."""
     c = replace_all(c, r"(?is)<(script|style)\b.*?</\1>", "")
     c = replace_all(c, r"(?i)<br\s*/?>|</(p|div)\s*>", "\n")
-    c = lf(unescape_all(replace_all(c, r"<[^>]+>", "")))
+    c = lf(unescape(replace_all(c, r"<[^>]+>", "")))
     return trim(replace_all(replace_all(c, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"))
 
 
 def page_title(html: Column) -> Column:
     """STR-05: the first title element in one line; empty where there is none."""
-    return F.coalesce(squash(unescape_all(replace_all(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"<[^>]+>", ""))), F.lit(""))
+    return F.coalesce(squash(unescape(replace_all(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"<[^>]+>", ""))), F.lit(""))
 
 
 #: Page markers, hints to read on and navigation lines (STR-07). Fixed values.

@@ -58,6 +58,12 @@ def with_fallback(df: DataFrame, payload: str, presets: Sequence[dict[str, str]]
     return df.withColumn("_x", run.asNondeterministic()(F.col(payload))).withColumns({f: F.col(f"_x.{f}") for f in ("preset", *fields)}).drop("_x")
 
 
+def preview(df: DataFrame, html: str, chars: int) -> DataFrame:
+    """SRC-21: the title, and the first characters of the markup and of the text of each page, as title, html_preview and text_preview."""
+    c = F.col(html)
+    return df.withColumns({"title": X.page_title(c), "text_preview": F.substring(X.html_to_text(c), 1, chars), "html_preview": F.substring(c, 1, chars)})
+
+
 #: Names of the fields of a book page (EXT-31). Fixed values.
 BOOK_FIELDS = {"book_name": ("name", "bookName", "title"), "author": ("author",), "intro": ("intro", "desc"), "toc_url": ("tocUrl", "chapterUrl")}
 

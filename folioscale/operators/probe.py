@@ -1,5 +1,5 @@
 """Probes and attempts as plans: what would be tried, in which order, and where it ends
-(STM-03, STM-07, LIM-07, SRC-19, SNK-07)."""
+(STM-03, STM-07, LIM-07, AGG-13, SRC-19, SNK-07, SRT-05)."""
 
 from __future__ import annotations
 
@@ -51,6 +51,39 @@ def within_time(outcomes: DataFrame, run: str, order: Sequence[str], elapsed: st
     return outcomes.withColumn("progress", F.when(end <= budget, "completed").when(end - F.col(elapsed) < budget, "timed_out").otherwise("unsearched"))
 
 
+def run_summary(outcomes: DataFrame, run: str, candidates: DataFrame, stopped: Column) -> DataFrame:
+    """AGG-13: how each search run went: sources to ask, asked, done, with hits, timed out, not asked, and why it ended.
+
+    outcomes: (run, source_id, progress, error, hits) as ``within_time`` marks them; candidates: (run, sources,
+    skipped); stopped: whether the run had its exact hits by then.
+    """
+    at = lambda p: F.count_if(F.col("progress") == p)
+    got = outcomes.groupBy(run).agg(at("completed").alias("completed_sources"), F.count_if((F.col("progress") == "completed") & F.col("error").isNotNull()).alias("_errors"), at("timed_out").alias("timed_out_source_count"), F.sum("hits").alias("result_count"), F.max(stopped.cast("int")).alias("_stopped"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    out = candidates.join(got, run, "left").withColumns({"completed_sources": n("completed_sources"), "timed_out_source_count": n("timed_out_source_count"), "result_count": n("result_count")})
+    asked = F.col("completed_sources") + F.col("timed_out_source_count")
+    early = F.coalesce("_stopped", F.lit(0)) == 1
+    reason = F.when(F.col("timed_out_source_count") > 0, "time_budget").when(early, "exact_match_limit").otherwise("")
+    return out.select(
+        run, F.col("sources").alias("candidate_sources"), "skipped_sources", asked.alias("searched_sources"), "completed_sources", F.greatest(F.lit(0), F.col("completed_sources") - n("_errors")).alias("successful_sources"),
+        "timed_out_source_count", (F.col("sources") - asked).alias("unsearched_source_count"), (reason != "").alias("partial"), (reason == "exact_match_limit").alias("early_stopped"), reason.alias("stop_reason"), "result_count",
+    )
+
+
+def searches(cached_hits: DataFrame, ids: Sequence[str] | None = None) -> DataFrame:
+    """SRC-19, SRT-05: the kept searches, newest first, with how many items each has; only those of ``ids`` if given.
+
+    cached_hits: (search_id, item, at, ...).
+    """
+    df = cached_hits if ids is None else cached_hits.where(F.col("search_id").isin(list(ids)))
+    return df.groupBy("search_id").agg(F.max("at").alias("at"), F.count("*").alias("items")).orderBy(F.col("at").desc(), "search_id")
+
+
+def picked(cached_hits: DataFrame, search_id: str, item: int) -> DataFrame:
+    """SRC-19: one item of a kept search; an index outside of it gives no row."""
+    return cached_hits.where((F.col("search_id") == search_id) & (F.col("item") == item))
+
+
 def cached(hits: DataFrame, search: str, order: Sequence[str]) -> DataFrame:
     """SNK-07, SRC-19: the hits of each search numbered as they are kept, under an id made of the search's key and its hash."""
     id = F.concat(X.key(F.col(search)), F.lit("-"), urls.short_hash(F.coalesce(F.col(search), F.lit(""))))

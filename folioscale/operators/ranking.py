@@ -56,7 +56,7 @@ def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
 
 
 def positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
-    """All rows numbered from 1 in an order over the whole table, without gathering them in one task.
+    """All rows numbered from 1 in an ascending order of values over the whole table, without gathering them in one task.
 
     The rows are range-partitioned and sorted by the order; a partition's rows are numbered from the
     count of those before it. Only a row per partition reaches the driver.

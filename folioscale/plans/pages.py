@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls
+from ..operators import extract
 from ..rules import compile as rules
 from ..session import table
 
@@ -60,16 +61,21 @@ def rule_json_path(spark: SparkSession, folder: str) -> DataFrame:
 def rule_hits(spark: SparkSession, folder: str) -> DataFrame:
     hits = table(spark, folder, "search_hit")
     body = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("title").alias("name"), "author", F.col("book_url").alias("bookUrl"), "kind")).alias("items")).alias("data")))
-    got = rules.extract_hits(hits.select("hit_id", F.col("book_url").alias("page"), body.alias("body")), "body", {"bookList": "$.data.items[*]", "name": "name", "author": "author", "bookUrl": "bookUrl", "kind": "kind"}, "page")
+    got = rules.extract_hits(hits.select("hit_id", F.col("book_url").alias("page"), body.alias("body")), "body", {"bookList": "$.data.items[*]", "name": "name", "author": "author", "bookUrl": "bookUrl", "kind": "kind"}, "page", kind="json")
     return got.select("hit_id", "title", "author", "book_url", "kind")
 
 
 def rule_toc_items(spark: SparkSession, folder: str) -> DataFrame:
     plans = table(spark, folder, "book_plan").where("toc is not null").select("plan_id", F.to_json(F.struct("toc")).alias("body"))
-    got = rules.extract_list(plans, "body", "$.toc[*].title", "titles")
+    got = rules.extract_list(plans, "body", "$.toc[*].title", "titles", kind="json")
     return got.select("plan_id", F.posexplode("titles").alias("pos", "title"))
 
 
+def preview_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """What a look at a page shows: title, and the first 200 characters of its markup and of its text."""
+    return extract.preview(_pages(spark, folder), "html", 200).select("preview_id", "title", "html_preview", "text_preview")
+
+
 def inline_cleaners(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("text is not null").select("doc_id", X.clean(F.col("text"), CLEANERS).alias("text"))
 
@@ -147,7 +153,7 @@ def text_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (page_title, page_text, page_text_job, page_text_template, page_links, rule_fields, rule_json_path, rule_hits, rule_toc_items, inline_cleaners, data_cleaners, page_markers, duplicate_title, paragraph_reflow, content_pipeline, url_normalise, stable_ids, request_urls, truncated, epoch_format, payload_kinds, text_roundtrip)
+    for f in (page_title, page_text, page_text_job, page_text_template, page_links, rule_fields, rule_json_path, rule_hits, rule_toc_items, preview_scan, inline_cleaners, data_cleaners, page_markers, duplicate_title, paragraph_reflow, content_pipeline, url_normalise, stable_ids, request_urls, truncated, epoch_format, payload_kinds, text_roundtrip)
 }
 
 
@@ -229,6 +235,7 @@ FROM (SELECT preview_id, url, unnest(links) AS link, generate_subscripts(links,
  array_to_string(list_filter(list_transform({_DIVS}[1:2], lambda d: {_ATTR.format('d', 'class')}), lambda x: x <> ''), chr(10)) AS span,
  array_to_string(list_filter(list_transform({_DIVS}[2:], lambda d: {_ATTR.format('d', 'class')}), lambda x: x <> ''), chr(10)) AS others FROM ({PAGES})""",
     "rule_json_path": "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') AS either, '<' || json_extract_string(props, '$.k') || '>ab' AS line, regexp_replace(json_extract_string(props, '$.k'), '[0-4]', 'x', 'g') AS cleaned FROM events WHERE props IS NOT NULL",
+    "preview_scan": f"SELECT preview_id, {_HEAD} AS title, left(html, 200) AS html_preview, left({_TEXT}, 200) AS text_preview FROM ({PAGES})",
     "rule_hits": f"SELECT hit_id, {_squash('title')} AS title, coalesce({_squash('author')}, '') AS author, coalesce({_squash('book_url')}, '') AS book_url, coalesce({_squash('kind')}, '') AS kind FROM search_hit WHERE {_squash('title')} <> ''",
     "rule_toc_items": f"SELECT plan_id, (n - 1)::INT AS pos, {_squash('t.title')} AS title FROM (SELECT plan_id, unnest(toc) AS t, generate_subscripts(toc, 1) AS n FROM book_plan)",
     "inline_cleaners": f"SELECT doc_id, {_CLEAN} AS text FROM documents WHERE text IS NOT NULL",
@@ -241,7 +248,7 @@ FROM (SELECT preview_id, url, unnest(links) AS link, generate_subscripts(links,
     ),
     "url_normalise": f"SELECT hit_id, {_NORMAL_URL.format(u='book_url')} AS url, coalesce({_ORIGIN.format(u='book_url')}, '') AS origin FROM search_hit",
     "stable_ids": r"""
-SELECT given_id, substr(slug, 1, 32) || '-' || substr(sha1('{"name": "' || name || '", "url": "' || url || '"}'), 1, 12) AS source_id, md5(url) AS md5, substr(sha1(url), 1, 10) AS short, slug,
+SELECT given_id, substr(slug, 1, 32) || '-' || substr(sha1('{"name": "' || trim(name) || '", "source_url": "' || trim(url) || '"}'), 1, 12) AS source_id, md5(url) AS md5, substr(sha1(url), 1, 10) AS short, slug,
  coalesce(nullif(regexp_replace(regexp_replace(name, '[\\/:*?"<>|]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), 'novel') AS file, substr(regexp_replace(regexp_replace(url, '[^0-9A-Za-z一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 24) AS key
 FROM (SELECT source_id AS given_id, name, url, coalesce(nullif(lower(regexp_replace(regexp_replace(trim(name), '[^0-9A-Za-z一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g')), ''), 'source') AS slug
       FROM (SELECT source_id, coalesce(name, '') AS name, coalesce(base_url, '') AS url FROM book_source))""",

@@ -33,7 +33,8 @@ def search_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _hits(spark, folder).orderBy(*_order()).limit(20).select("hit_id", "title")
+    """LIM-02: the twenty best hits, with how many there are."""
+    return present.page(_hits(spark, folder), _order(), 0, 20).select("hit_id", "title", F.col("total").alias("result_count"))
 
 
 def search_per_source_limit(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,7 +178,7 @@ _ORDER = f"{_RANK.format('cls')}, CASE WHEN dl THEN 0 ELSE 1 END, lower(coalesce
 
 SQL = {
     "search_rank": f"SELECT match_keyword, rank::INT AS rank, hit_id, cls AS title_match FROM (SELECT *, row_number() OVER (PARTITION BY match_keyword ORDER BY {_ORDER}) AS rank FROM ({_HITS})) WHERE rank <= 5",
-    "search_topk": f"SELECT hit_id, title FROM ({_HITS}) ORDER BY {_ORDER} LIMIT 20",
+    "search_topk": f"SELECT hit_id, title, (SELECT count(*) FROM search_hit) AS result_count FROM ({_HITS}) ORDER BY {_ORDER} LIMIT 20",
     "search_per_source_limit": "SELECT source_id, match_keyword, hit_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id, match_keyword ORDER BY hit_id) AS rank FROM search_hit) WHERE rank <= 3",
     "source_priority": f"""
 SELECT row_number() OVER (ORDER BY {_RANKED.format(f"({_STATE})")}, CASE WHEN supports_download THEN 0 ELSE 1 END, {_EXTRACTOR}, history, penalty, speed, recency, source_id) AS position, source_id

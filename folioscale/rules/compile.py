@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions import urls
 from ..session import ship
 from . import language
 
@@ -76,8 +77,31 @@ def extract(df: DataFrame, payload: str, rules: dict[str, str], joined: set[str]
     return df.withColumn("_rules", once(F.col(payload))).withColumns({n: F.col(f"_rules.{n}") for n in rest}).drop("_rules")
 
 
-def extract_list(df: DataFrame, payload: str, rule: str, name: str = "values") -> DataFrame:
-    """EXT-03: ``df`` with an array column of all values as text."""
+LIST_PATH = re.compile(r"(\$?\.?(?:[A-Za-z_]\w*(?:\.[A-Za-z_]\w*|\[\d+\])*)?)\[\*\](?:\.(.+))?")
+
+
+def native_items(rule: str, json: Column) -> Column | None:
+    """The items of a list rule over a JSON text column as JSON texts (texts as they are), or None where it needs the function.
+
+    Only a path with one "[*]" and members below it is native; cleaners are applied, null items left out.
+    """
+    alts = language.parse(rule)
+    m = LIST_PATH.fullmatch(alts[0].base) if len(alts) == 1 else None
+    if m is None or alts[0].puts or alts[0].script or alts[0].template or (m[2] and not NATIVE_PATH.fullmatch(m[2])):
+        return None
+    path = m[1].lstrip("$.")
+    items = F.from_json(F.get_json_object(json, f"$.{path}" if path else "$"), "array<string>")
+    if m[2]:
+        items = F.transform(items, lambda x: _member(x, m[2]))
+    items = F.filter(items, lambda x: x.isNotNull())
+    return F.transform(items, lambda x: X.clean(X.squash(x), alts[0].cleaners)) if alts[0].cleaners else items
+
+
+def extract_list(df: DataFrame, payload: str, rule: str, name: str = "values", kind: str | None = None) -> DataFrame:
+    """EXT-03: ``df`` with an array column of all values as text. kind "json" lets plain paths stay in the JVM."""
+    items = native_items(rule, F.col(payload)) if kind == "json" else None
+    if items is not None:
+        return df.withColumn(name, F.coalesce(F.transform(items, X.squash), F.array().cast("array<string>")))
     ship(df.sparkSession)
 
     @F.pandas_udf("array<string>")
@@ -90,8 +114,28 @@ def extract_list(df: DataFrame, payload: str, rule: str, name: str = "values") -
 HIT = "array<struct<title:string,book_url:string,author:string,cover_url:string,intro:string,kind:string,last_chapter:string,word_count:string,rule_vars:map<string,string>>>"
 
 
-def extract_hits(df: DataFrame, payload: str, rules: dict[str, str], page: str, root: str = "") -> DataFrame:
-    """EXT-30: a row for each search hit of each payload; the other columns are kept."""
+def _native_hits(df: DataFrame, payload: str, rules: dict[str, str], page: str, root: str) -> DataFrame | None:
+    """The hits without the function, where the list and all fields are plain."""
+    items = native_items(language.first_rule(rules, language.LIST_NAMES), F.col(payload)) if not rules.get("init") else None
+    if items is None:
+        return None
+    fields = {f: native(language.first_rule(rules, names), F.col("_item")) for f, names in language.HIT_FIELDS.items()}
+    if any(c is None for c in fields.values()):
+        return None
+    keep = [c for c in df.columns if c != payload]
+    rows = df.select(*keep, F.posexplode(items).alias("_pos", "_item")).select(*keep, "_pos", *(c.alias(f) for f, c in fields.items())).where("title <> ''")
+    where = {f: urls.absolute(F.col(f), F.coalesce(page, F.lit("")), F.lit(root)).alias(f) for f in ("book_url", "cover_url")}
+    return rows.select(*keep, F.col("_pos").alias("pos"), *(where.get(f, F.col(f)) for f in fields), F.create_map().cast("map<string,string>").alias("rule_vars"))
+
+
+def extract_hits(df: DataFrame, payload: str, rules: dict[str, str], page: str, root: str = "", kind: str | None = None) -> DataFrame:
+    """EXT-30: a row for each search hit of each payload; the other columns are kept.
+
+    kind "json" lets plain rules stay in the JVM; ``pos`` then counts the items of the list, else the hits.
+    """
+    done = _native_hits(df, payload, rules, page, root) if kind == "json" else None
+    if done is not None:
+        return done
     ship(df.sparkSession)
 
     @F.pandas_udf(HIT)

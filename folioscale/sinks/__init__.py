@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,19 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str],
     spark.createDataFrame([(str(version),)], "version string").coalesce(1).write.mode("overwrite").text(f"{path}/_current")
 
 
+def changed(spark: SparkSession, path: str, keys: Sequence[str], rows: DataFrame, flags: dict[str, Column] | None = None) -> None:
+    """SNK-08: the rows of the given keys are removed from a keyed table, or get new values in some columns (flags)."""
+    old = current(spark, path)
+    if old is None:
+        return
+    picked = rows.select(*keys).distinct()
+    rest = old.join(picked, list(keys), "left_anti")
+    new = rest if flags is None else rest.unionByName(old.join(picked, list(keys), "left_semi").withColumns(flags))
+    version = int(_pointer(spark, path)) + 1
+    new.write.mode("overwrite").parquet(f"{path}/v={version}")
+    spark.createDataFrame([(str(version),)], "version string").coalesce(1).write.mode("overwrite").text(f"{path}/_current")
+
+
 def _pointer(spark: SparkSession, path: str) -> str | None:
     fs = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
     return spark.read.text(f"{path}/_current").first()["value"] if fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs) else None

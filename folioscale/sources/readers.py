@@ -100,6 +100,22 @@ def clean_rules_text(df: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(*keep, "pos", X.trim(parts[0]).alias("pattern"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("replacement")).where("pattern <> ''")
 
 
+def remote_cleaners(df: DataFrame, ref: str, text: str = "text") -> DataFrame:
+    """SRC-13, SRC-14: (ref, pos, pattern, replacement): the cleaners of each address, each address read once.
+
+    text: what the address gave, null where it gave nothing (that is remembered like any other answer: no
+    cleaners). It is a JSON list or an object's "rules" or "cleaners", or else lines as in SRC-12.
+    """
+    once = df.select(ref, text).groupBy(ref).agg(F.max(text).alias(text))
+    whole = X.trim(F.coalesce(F.col(text), F.lit("")))
+    is_json = F.try_parse_json(whole).isNotNull() & whole.rlike(r"^[\[{]")
+    listed = F.coalesce(F.when(whole.startswith("["), whole), F.get_json_object(whole, "$.rules"), F.get_json_object(whole, "$.cleaners"))
+    rows = once.where(is_json).select(ref, F.posexplode(F.from_json(listed, f"array<{RAW}>")).alias("pos", "r"))
+    first = lambda *names: F.coalesce(*(F.col("r")[n] for n in names), F.lit(""))
+    from_json = rows.select(ref, "pos", X.trim(first("pattern", "regex")).alias("pattern"), first("replacement", "replace").alias("replacement")).where("pattern <> ''")
+    return from_json.unionByName(clean_rules_text(once.where(~is_json), text).select(ref, "pos", "pattern", "replacement"))
+
+
 def journal_lines(df: DataFrame, schema: str, text: str = "text") -> DataFrame:
     """SRC-18: (pos, corrupt, record) of JSON lines; a last line without an end is torn and left out."""
     keep = [c for c in df.columns if c != text]

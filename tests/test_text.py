@@ -61,5 +61,26 @@ def test_urls_and_ids(spark):
     assert tuple(one(spark, F.struct(*(x.alias(n) for n, x in zip("ab", urls.request_options(c)))), 'u?a=1,{"method":"POST"}')) == ("u?a=1", {"method": "POST"})
     assert one(spark, urls.percent_encoded(c, "gbk"), "中 a") == "%D6%D0%20a"
     assert one(spark, urls.epoch_text(c), "1700000000") == one(spark, urls.epoch_text(c), "1700000000000") == "2023-11-14 22:13" and one(spark, urls.epoch_text(c), "x") == "x"
-    assert one(spark, urls.source_id(c, F.lit("u")), 'N"x') == "n-x-" + __import__("hashlib").sha1('{"name": "N\\"x", "url": "u"}'.encode()).hexdigest()[:12]
+    assert one(spark, urls.source_id(c, F.lit("u")), 'N"x') == "n-x-" + __import__("hashlib").sha1('{"name": "N\\"x", "source_url": "u"}'.encode()).hexdigest()[:12]
     assert one(spark, urls.merged(F.expr("map('a','1','b','2')"), F.expr("map('b','3')"))) == {"a": "1", "b": "3"}
+
+
+def test_job_ids_options_and_merges(spark):
+    import hashlib
+    import json
+
+    toc = [{"index": 0, "title": 'a "b" 中/é', "url": None}, {"index": 1, "title": "\\n", "url": "u"}]
+    df = spark.createDataFrame([("灯笼", [(t["index"], t["title"], t["url"]) for t in toc])], "b string, t array<struct<index: int, title: string, url: string>>")
+    want = hashlib.sha1(json.dumps({"book_name": "灯笼", "toc": toc}, ensure_ascii=False, sort_keys=True).encode()).hexdigest()[:12]
+    assert df.select(urls.job_id(F.col("b"), F.col("t"), df.schema["t"].dataType).alias("v")).first().v == f"灯笼-{want}"
+    c = F.col("c")
+    assert one(spark, urls.request_options(c)[1], "u,{'method': 'POST', 'webView': True}") == {"method": "POST", "webView": "true"} and one(spark, urls.request_options(c)[1], "u,{oops}") is None
+    assert json.loads(one(spark, urls.merged_json(c, F.lit('{"a": {"y": 2}, "b": [1]}')), '{"a": {"x": 1, "y": 0}, "c": 3}')) == {"a": {"x": 1, "y": 2}, "b": [1], "c": 3}
+    with pytest.raises(Exception, match="unknown keys: z"):
+        one(spark, urls.merged_json(c, F.lit('{"z": 1}'), ["a"]), "{}")
+    from html import unescape
+
+    for t in ("&#8220;caf&eacute;&#x1F600;&#146;&#0;&bogus; R&D &amp;lt; &copy &nbsp;&hearts;", "&", "a&&amp;", "", None):
+        assert one(spark, X.unescape(c), t) == (None if t is None else unescape(t.replace("&copy ", "&amp;copy ")))
+    for u, page in (("../x.html", "https://h.example/a/b/c.html"), ("./x?q=../y", "https://h.example/a/"), ("../../..", "https://h.example/a/b/c"), ("/a/../b", "https://h.example/z")):
+        assert one(spark, urls.absolute(c, F.lit(page), F.lit("")), u) == __import__("urllib.parse").parse.urljoin(page, u)
