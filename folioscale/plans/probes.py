@@ -103,7 +103,7 @@ r AS (SELECT t.match_keyword, count(*) AS n, count(*) FILTER (WHERE progress = '
  FROM ({_TIMED}) t LEFT JOIN h ON h.match_keyword IS NOT DISTINCT FROM t.match_keyword AND h.source_id = t.source_id WHERE t.match_keyword IS NOT NULL GROUP BY t.match_keyword)
 SELECT match_keyword, n AS candidate_sources, 0::BIGINT AS skipped_sources, done + late AS searched_sources, done AS completed_sources, greatest(0, done - bad) AS successful_sources, late AS timed_out_source_count, n - done - late AS unsearched_source_count, late > 0 OR stopped AS partial, late = 0 AND stopped AS early_stopped,
  CASE WHEN late > 0 THEN 'time_budget' WHEN stopped THEN 'exact_match_limit' ELSE '' END AS stop_reason, total AS result_count FROM r""",
-    "search_index": f"SELECT row_number() OVER (ORDER BY at DESC, search_id) AS position, search_id, items FROM (SELECT {_SEARCH_ID} AS search_id, max(found_at) AS at, count(*) AS items FROM search_hit WHERE match_keyword IS NOT NULL GROUP BY 1)",
+    "search_index": f"SELECT row_number() OVER (ORDER BY seen DESC, search_id) AS position, search_id, items FROM (SELECT {_SEARCH_ID} AS search_id, max(found_at) AS seen, count(*) AS items FROM search_hit WHERE match_keyword IS NOT NULL GROUP BY 1)",
     "remote_cleaners": "SELECT source_id AS ref, 0 AS pos, coalesce(name, 'none') AS pattern, '-' AS replacement FROM book_source WHERE weight % 4 < 3 AND trim(coalesce(name, 'none')) <> ''",
     "preset_fallback": f"SELECT preview_id, CASE WHEN {_FULL} THEN 2 END::INT AS preset, CASE WHEN {_FULL} THEN {_H1} ELSE '' END AS title FROM ({PAGES})",
     "pattern_extract": r"SELECT preview_id, nullif(coalesce(nullif(regexp_extract(html, '(?s)<h1[^>]*>第(.*?)章', 1), ''), regexp_extract(html, '(?s)<h1[^>]*>(\d+)', 1)), '') AS number FROM (" + PAGES + ")",
