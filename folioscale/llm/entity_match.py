@@ -34,6 +34,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -304,19 +305,47 @@ def _placed(splits):
     return run
 
 
+def letters(titles: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each of 64 classes of characters stands in each title, and the titles' lengths."""
+    size = np.array([len(t) for t in titles], np.int64)
+    code = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & 63
+    cell = np.repeat(np.arange(len(titles)), size) * 64 + code
+    return np.bincount(cell, minlength=len(titles) * 64).reshape(-1, 64).astype(np.int16), size
+
+
 def _compare(window: int, least: float):
+    """Of all pairs in the windows those are compared whose titles can be alike.
+
+    Titles share at most what their classes of characters share, so no pair is lost by looking at these
+    first; pairs of one address are compared in any case.
+    """
+
     def fn(plans: pa.Table, entities: pa.Table) -> pa.Table:
         out: list[tuple[int, str, str, float]] = []
         if plans.num_rows and entities.num_rows:
             ps = sorted(zip(*(plans.column(c).to_pylist() for c in ("key", "row", "title", "author", "intro", "page"))))
             keys = [p[0] for p in ps]
-            for key, page, source, title, author, intro in sorted(zip(*(entities.column(c).to_pylist() for c in ("key", "page", "source", "title", "author", "intro")))):
+            held, sizes = letters([p[2] for p in ps])
+            by_page: dict[str, list[int]] = {}
+            for n, p in enumerate(ps):
+                if p[5] is not None:
+                    by_page.setdefault(p[5], []).append(n)
+            es = sorted(zip(*(entities.column(c).to_pylist() for c in ("key", "page", "source", "title", "author", "intro"))))
+            own, lengths = letters([e[3] for e in es])
+            for n, (key, page, source, title, author, intro) in enumerate(es):
                 at, end = bisect_left(keys, key), bisect_right(keys, key)
-                same = ps[at:end]
-                if len(same) > COPIES:  # copies of one record: each entity takes some of them, in turn
+                low, high = max(0, at - window), end + window
+                if end - at > COPIES:  # copies of one record: each entity takes some of them, in turn
                     first = crc32(page.encode())
-                    same = [same[(first + k) % len(same)] for k in range(COPIES)]
-                for p in [*ps[max(0, at - window) : at], *same, *ps[end : end + window]]:
+                    some = sorted(at + (first + k) % (end - at) for k in range(COPIES))
+                    within = np.array([*range(low, at), *some, *range(end, min(high, len(ps)))])
+                else:
+                    within = np.arange(low, min(high, len(ps)))
+                alike = np.minimum(held[within], own[n]).sum(1) >= 0.6 * np.maximum(sizes[within], lengths[n])
+                near = within[alike].tolist()
+                near += [k for k in by_page.get(page, ()) if k in within[~alike]]
+                for k in near:
+                    p = ps[k]
                     c = confidence(p[2:], (title, author, intro, page))
                     if c >= least:
                         out.append((p[1], page, source, c))

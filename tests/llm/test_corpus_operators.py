@@ -244,6 +244,13 @@ def test_copies_without_end_stay_linear(spark):
     assert entity_match.assigned(pairs.limit(2000)).count() > 10
 
 
+@given(st.text("abcdé灯笼断剑\U0001f600", max_size=12), st.text("abcdé灯笼断剑\U0001f600", max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_classes_of_characters_never_hide_what_titles_share(a, b):
+    held, size = entity_match.letters([a, b])
+    assert size.tolist() == [len(a), len(b)] and min(len(a), len(b)) >= int(__import__("numpy").minimum(held[0], held[1]).sum()) >= entity_match.shared(a, b)
+
+
 @pytest.mark.parametrize("a, b, same", [("https://www.h.example/book?id=7&from=search#info", "http://m.h.example/book/?id=7", True), ("https://h.example/book?id=7", "https://h.example/book?id=8", False), ("https://h.example/b/?ref=x", "https://h.example/b", True), ("https://h.example/b?a=1&b=2", "https://h.example/b?b=2&a=1", True)])
 def test_addresses(a, b, same):
     assert (entity_match.address(a) == entity_match.address(b)) is same
