@@ -140,13 +140,19 @@ def shared(a: str, b: str) -> int:
     return sum(n if n < y[c] else y[c] for c, n in x.items() if c in y)
 
 
-def edits(a: str, b: str) -> int:
-    """Edit distance with a swap of neighbours as one edit, a column of the table at a time as bits."""
+def edits(a: str, b: str, most: int | None = None) -> int:
+    """Edit distance with a swap of neighbours as one edit, a column of the table at a time as bits.
+
+    A distance above ``most`` may be given as any number above it.
+    """
     if not a or not b:
         return len(a) + len(b)
     places, full, top = _places(a), (1 << len(a)) - 1, 1 << len(a) - 1
     plus, minus, diagonal, before, distance = full, 0, 0, 0, len(a)
-    for c in b:
+    bound = len(b) + (len(a) + len(b) if most is None else most)
+    for n, c in enumerate(b):
+        if distance + n > bound:  # it falls by one a column at most
+            return distance + n - len(b)
         match = places.get(c, 0)
         swap = ((~diagonal & match) << 1) & before
         diagonal = ((((match & plus) + plus) ^ plus) | match | minus | swap) & full
@@ -157,12 +163,14 @@ def edits(a: str, b: str) -> int:
     return distance
 
 
-def likeness(a: str, b: str) -> float:
-    """1 for equal texts, 0 for texts that share little."""
+def likeness(a: str, b: str, floor: float = 0.2) -> float:
+    """1 for equal texts, 0 for texts that share little; what lies below ``floor`` may come as any number below it."""
     if a == b:
         return 1.0
     n = max(len(a), len(b))
-    return 0.0 if shared(a, b) < 0.5 * n else 1 - edits(a, b) / n
+    if shared(a, b) < 0.5 * n:
+        return 0.0
+    return max(0.0, 1 - edits(a, b, int((1 - floor) * n) + 1) / n)
 
 
 @lru_cache(100_000)
@@ -175,15 +183,16 @@ def title_likeness(a: str, b: str) -> float:
         return 0.0
     if {m[0] for m in OTHER_BOOK.finditer(a)} != {m[0] for m in OTHER_BOOK.finditer(b)}:
         return 0.0
-    best = likeness(a, b)
+    best = likeness(a, b, 0.6)
     if best < 0.9 and " " in a and " " in b:
         x, y = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
-        best = max(best, likeness(x, y))
+        best = max(best, likeness(x, y, 0.6))
     elif sorted(a) == sorted(b):
         best = max(best, 0.85)
     return best
 
 
+@lru_cache(200_000)
 def author_likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -203,7 +212,7 @@ def intro_likeness(a: str, b: str) -> float | None:
         return None
     if a[:n] == b[:n]:
         return 1.0
-    return likeness(a[:n], b[:n])
+    return likeness(a[:n], b[:n], 0.5)
 
 
 #: Weights of title, author and intro. Fixed values.
@@ -212,13 +221,14 @@ WEIGHTS = (0.45, 0.25, 0.30)
 
 def confidence(plan: tuple, hit: tuple) -> float:
     """Of (title, author, intro, address) of a plan and an entity: 0 for no match."""
-    same_page = plan[3] is not None and plan[3] == hit[3]
+    if plan[3] is not None and plan[3] == hit[3]:
+        return 0.9 + 0.1 * title_likeness(plan[0], hit[0])
+    a = author_likeness(plan[1], hit[1]) if plan[1] and hit[1] else None
+    if a is not None and a < 0.2:  # told first, since names are short
+        return 0.0
     t = title_likeness(plan[0], hit[0])
-    if same_page:
-        return 0.9 + 0.1 * t
     if t < 0.6:
         return 0.0
-    a = author_likeness(plan[1], hit[1]) if plan[1] and hit[1] else None
     i = intro_likeness(plan[2], hit[2])
     if a is not None and a < 0.5 and (i is None or i < 0.8 or a < 0.2):
         return 0.0
