@@ -72,7 +72,7 @@ def address(url: str | None) -> str | None:
     return (path.rstrip("/") + ("?" + "&".join(kept) if kept else "")).lower() or None
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def clean_author(text: str | None) -> str:
     """Name words in one order; empty where nobody is named."""
     if text is None:
@@ -92,7 +92,7 @@ def clean_author(text: str | None) -> str:
     return " ".join(NOT_WORD.sub(" ", s).split())
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def clean_title(text: str | None) -> tuple[str, str]:
     """(title without decorations, author named in it)."""
     if text is None:
@@ -112,12 +112,12 @@ def clean_title(text: str | None) -> tuple[str, str]:
     return ("".join if re.search("[一-鿿]", s) else " ".join)(NOT_WORD.sub(" ", s).split()), author
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def clean_intro(text: str | None) -> str:
     return "" if text is None else NOT_WORD.sub("", (form(text) or "").lower())
 
 
-@lru_cache(100_000)
+@lru_cache(4_000)
 def _places(a: str) -> dict[str, int]:
     """For each character the bits of its places."""
     out: dict[str, int] = {}
@@ -126,7 +126,7 @@ def _places(a: str) -> dict[str, int]:
     return out
 
 
-@lru_cache(100_000)
+@lru_cache(4_000)
 def _counts(a: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for c in a:
@@ -173,7 +173,7 @@ def likeness(a: str, b: str, floor: float = 0.2) -> float:
     return max(0.0, 1 - edits(a, b, int((1 - floor) * n) + 1) / n)
 
 
-@lru_cache(100_000)
+@lru_cache(50_000)
 def title_likeness(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
@@ -192,7 +192,7 @@ def title_likeness(a: str, b: str) -> float:
     return best
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def author_likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
