@@ -164,7 +164,7 @@ _DEFAULTS = f"SELECT s.source_id, g.stage, coalesce(h.state, 'unknown') AS state
 BY_STAGE = f"SELECT source_id, max(CASE WHEN stage = 'search' THEN state END) AS search, max(CASE WHEN stage = 'preflight' THEN state END) AS preflight, max(CASE WHEN stage = 'download' THEN state END) AS download FROM ({_DEFAULTS}) GROUP BY source_id"
 _NOT_BLANK = r"regexp_matches(coalesce({}, ''), '[^\s\x{{0B}}\x{{85}}\p{{Z}}]')"
 _RESUMED = f"""SELECT * REPLACE (coalesce(index, -1) AS index, coalesce(missing_count, -1) AS missing_count, coalesce(error_count, -1) AS error_count) FROM (WITH m AS (SELECT m.*, s.url IS NOT NULL AS there, s.title AS st, s.content AS sc, s.content IS NOT NULL AND {_NOT_BLANK.format('s.content')} AS ok FROM ({_MISSING}) m
- LEFT JOIN (SELECT url, arg_max(title, preview_id) AS title, arg_max(text_preview, preview_id) AS content FROM fetch_preview WHERE url IS NOT NULL GROUP BY url) s USING (url)),
+ LEFT JOIN (SELECT url, arg_max_null(title, preview_id) AS title, arg_max_null(text_preview, preview_id) AS content FROM fetch_preview WHERE url IS NOT NULL GROUP BY url) s USING (url)),
 j AS (SELECT h.job_id, c.n, c.e FROM ({_HEADS}) h LEFT JOIN (SELECT job_id, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS e FROM m GROUP BY job_id) c USING (job_id) WHERE len(h.chapters) > 0)
 SELECT job_id, 1 AS step, CASE WHEN ok THEN 'chapter' ELSE 'error' END AS kind, index, CASE WHEN {_NOT_BLANK.format('st')} THEN st ELSE title END AS title, url, CASE WHEN ok THEN sha1(sc) END AS content, CASE WHEN NOT there THEN 'page not found' WHEN NOT ok THEN 'chapter content empty' END AS error, NULL::VARCHAR AS state, NULL::INT AS missing_count, NULL::INT AS error_count FROM m
 UNION ALL SELECT job_id, 0, 'state', NULL, NULL, NULL, NULL, NULL, 'downloading', n::INT, NULL FROM j WHERE n IS NOT NULL
