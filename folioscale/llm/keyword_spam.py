@@ -21,8 +21,8 @@ Prose to train on is decided without labels: a page whose text stands in ended s
 and hardly foretells itself. The model and the histograms are counts over all documents, merged by adding;
 their size is bounded by the number of classes (``CLASSES`` cubed) and of histogram cells.
 
-Null, empty and blank texts, and texts of one symbol, word or number (fewer than ``min_items`` items or one
-distinct word), are never flagged. Whole texts are scored; long texts are no exception. Repeated rows are
+Null, empty and blank texts, texts of one symbol, word or number (fewer than ``min_items`` items or one
+distinct word), and texts too short to fill a window are never flagged. Whole texts are scored; long texts are no exception. Repeated rows are
 judged each for itself.
 """
 
@@ -316,7 +316,8 @@ def _score(name: str, held, min_share: float, min_items: int):
                 offsets = pa.array(np.searchsorted(both, np.arange(batch.n + 1) * (OWN + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(v, k)) for v, k in (((both % (OWN + 1)).astype(np.int16), pa.int16()), (weight, pa.int32()))]
                 telling = np.bincount(batch.text, batch.solid & (ended & ~likely)[number], batch.n).astype(np.int32)
-                plain = pa.array([one_thing(t, min_items) for t in texts])
+                full = np.bincount(text[seq != START], minlength=batch.n) >= WINDOW
+                plain = pa.array([not f or one_thing(t, min_items) for f, t in zip(full.tolist(), texts)])
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(good), *lists, pa.array(telling), plain], names=["row", "prose", "cells", "chars", "telling", "plain"])
 
     return run
